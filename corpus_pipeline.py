@@ -1,25 +1,40 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing to target weights, byte-level BPE."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import bpe, exact_dedup
+from tallyspan.llm import bpe, exact_dedup, language_id, minhash, mixing
 from tallyspan.llm.common import shared_folder, table, written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that the network finds likely, go."""
+    return language_id.keep_languages(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates one document stays."""
+    return minhash.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by their source's rate, in the shuffled order; copies keep their doc_id."""
+    return mixing.mix(docs).drop("copy", "shuffle_key")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and a check of their round trip."""
+    """Digests of the ids of every row and of their decoding."""
     return bpe.digests(docs)
 
 
-STAGES = [("exact_dedup", exact), ("byte_bpe", encode)]
-#: No SQL: language models, signatures and merges have no SQL form; tests compare with brute force.
+STAGES = [("language_id", language), ("exact_dedup", exact), ("minhash", near), ("mixing", mixed), ("byte_bpe", encode)]
+#: No SQL: networks, signatures and merges have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_join, exact_dedup, minhash, mixing, surrogates, token_files, url_filter
+from . import bpe, embedding_join, exact_dedup, language_id, minhash, mixing, surrogates, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_minhash": minhash.op2_minhash,
     "op3_surrogates": surrogates.op3_surrogates,
+    "op4_language_id": language_id.op4_language_id,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_embedding_join": embedding_join.op9_embedding_join,
     "op10_url_filter": url_filter.op10_url_filter,
