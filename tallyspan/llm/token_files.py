@@ -1,9 +1,10 @@
 """Token ids as Arrow stream files with fixed-size-list batches.
 
 `write` packs the ids of documents, in ascending doc_id order and each followed by an end id, into rows
-of `width` ids with an equally long mask (1: an id, 0: padding at a shard's end). Every column is a
-fixed-size list without nulls in uncompressed batches of `rows` rows, so row i of a shard lies at a place
-that arithmetic gives, and a reader maps the file and takes any row without a copy. A shard is one range
+of `width` ids with an equally long mask of bits (true: an id, false: padding at a shard's end). Ids take
+16 bits where the vocabulary allows it, else 32. Every column is a fixed-size list without nulls in
+uncompressed batches of `rows` rows, so row i of a shard lies at a place that arithmetic gives, and a
+reader maps the file and takes any row without a copy. A shard is one range
 of doc_id; a second file beside it holds where its documents begin, and a Parquet manifest lists the
 shards. Files are written under a name of the task's attempt and then moved, so a repeated or a lost task
 leaves whole files only.
@@ -34,8 +35,8 @@ from tokenizers import Tokenizer
 from .common import partitions, shared_folder, slices, table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-UNSAFE = regex.compile(r"\s ")
-MEMO = 400_000
+UNSAFE, SPACE = regex.compile(r"\s |^ | $"), regex.compile(r"(?<=\S) (?=\S)")
+MEMO = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -48,75 +49,102 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class PieceEncoder:
-    """Encodes texts by their space-led pieces; the memo is emptied when it holds MEMO pieces."""
+    """Encodes texts by their space-led pieces; the memo is emptied when it holds MEMO pieces.
+
+    New pieces go to the tokenizer many at a time, joined by newlines: a newline before a space-led word is
+    always a token of its own, and pieces that hold one themselves go alone.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo, self.flat, self.used = tokenizer(path), {}, np.zeros(1 << 20, np.uint32), 0
-        self.starts = np.zeros(1 << 16, np.int64)
+        self.tokenizer = tokenizer(path)
+        self.newline = self.tokenizer.encode("\n a", add_special_tokens=False).ids[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.memo, self.flat, self.starts = {}, [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
+        self.used = 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = found.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                n = len(self.memo)
-                if n + 2 > len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.memo[piece] = n
-                self.used += len(ids)
-                self.starts[n + 1] = self.used
+        """Add pieces, each given without the space that leads it."""
+        joint = [x for x in pieces if "\n" not in x]
+        alone = [x for x in pieces if "\n" in x]
+        for k in range(0, len(joint), 5000):
+            part = joint[k : k + 5000]
+            ids = self._ids("\n".join([" " + x for x in part]) + "\n a")[:-1]
+            cut = ids == self.newline
+            self._add(part, ids[~cut], np.flatnonzero(cut) - np.arange(len(part)))
+        for x in alone:
+            ids = self._ids(" " + x)
+            self._add([x], ids, np.array([len(ids)]))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n = len(self.memo)
+        self.memo.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.flat.append(ids.astype(np.uint32))
+        self.starts.append(self.used + ends)
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.memo) > MEMO:
-            self.memo, self.used = {}, 0
+            self.clear()
         split = []
         for text in texts:
-            if not text:
-                split.append([])
-            elif UNSAFE.search(text):
-                cuts = [m.start() for m in regex.finditer(r"(?<=\S) ", text)]
-                split.append([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if b > a])
+            if UNSAFE.search(text):
+                cuts = [m.start() for m in SPACE.finditer(text)]
+                parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+                split.append([parts[0], *[x[1:] for x in parts[1:]]])
             else:
-                first, *rest = text.split(" ")
-                split.append(([first] if first else []) + [" " + x for x in rest])
-        self._learn(list({x for pieces in split for x in pieces if x not in self.memo}))
-        out = []
+                split.append(text.split(" "))
+        fresh = set().union(*[pieces[1:] for pieces in split]).difference(self.memo)
+        if fresh:
+            self._learn(list(fresh))
+            self.flat, self.starts = [np.concatenate(self.flat)], [np.concatenate(self.starts)]
+        flat, starts, out = self.flat[0], self.starts[0], []
         for pieces in split:
-            at = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
-            begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-            step = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(at) else np.zeros(0, np.int64)
-            out.append(self.flat[step + np.arange(len(step))])
+            first = self._ids(pieces[0]) if pieces[0] else np.zeros(0, np.uint32)
+            at = np.fromiter(map(self.memo.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
+            begin, n = starts[at], starts[at + 1] - starts[at]
+            step = np.repeat(begin - (np.cumsum(n) - n), n)
+            out.append(np.concatenate([first, flat[step + np.arange(len(step))]]))
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """One for each worker, whose memo serves all its tasks."""
+    return PieceEncoder(path)
+
+
 class ShardWriter:
     """Packs ids into rows of `width` and writes batches of `rows` rows as they fill."""
 
-    def __init__(self, sink, width: int, rows: int):
-        self.width, self.rows, self.left = width, rows, np.zeros(0, np.uint32)
-        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", pa.uint32(), False), width), False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), width), False)])
+    def __init__(self, sink, width: int, rows: int, kind: pa.DataType):
+        self.width, self.rows, self.kind = width, rows, kind.to_pandas_dtype()
+        self.left = np.zeros(0, self.kind)
+        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", kind, False), width), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), width), False)])
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def _put(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=kind.type) for x, kind in zip((ids, mask), self.schema, strict=True)]
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def add(self, ids: list[np.ndarray]) -> None:
-        self.left = np.concatenate([self.left, *ids])
-        full = self.width * self.rows
-        while len(self.left) >= full:
-            self._put(self.left[:full], np.ones(full, np.uint8))
-            self.left = self.left[full:]
+        self.left = np.concatenate([self.left, *[x.astype(self.kind) for x in ids]])
+        full, at = self.width * self.rows, 0
+        while len(self.left) - at >= full:
+            self._put(self.left[at : at + full], np.ones(full, bool))
+            at += full
+        self.left = self.left[at:]
 
     def close(self) -> None:
         if n := len(self.left):
             padded = -(-n // self.width) * self.width
-            ids, mask = np.zeros(padded, np.uint32), np.zeros(padded, np.uint8)
-            ids[:n], mask[:n] = self.left, 1
+            ids, mask = np.zeros(padded, self.kind), np.zeros(padded, bool)
+            ids[:n], mask[:n] = self.left, True
             self._put(ids, mask)
         self.out.close()
 
@@ -137,9 +165,10 @@ class ShardReader:
         return self.batches[k]
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of row i."""
+        """The ids and the mask of row i; the ids are a view of the file."""
         batch, k = self._batch(i // self.rows), i % self.rows
-        return tuple(batch.column(c).flatten().to_numpy()[k * self.width : (k + 1) * self.width] for c in ("ids", "mask"))
+        ids, mask = (batch.column(c).flatten().slice(k * self.width, self.width) for c in ("ids", "mask"))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def span(self, a: int, b: int) -> np.ndarray:
         """Ids a to b of the shard's stream; no copy while they lie in one batch."""
@@ -149,7 +178,7 @@ class ShardReader:
             flat = self._batch(k).column("ids").flatten().to_numpy()
             parts.append(flat[a - k * full : min(b, (k + 1) * full) - k * full])
             a = (k + 1) * full
-        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint32)])
 
 
 def write(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = 2, width: int = 2048, rows: int = 64) -> DataFrame:
@@ -158,9 +187,10 @@ def write(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = 2,
     Manifest: shard, first_id, first_hash, n_docs, n_tokens, start (ids in all shards before), file.
     """
     spark = docs.sparkSession
+    kind = pa.uint16() if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else pa.uint32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encoder = TaskContext.get(), PieceEncoder(path)
+        context, bpe = TaskContext.get(), encoder(path)
         shard, attempt = context.partitionId(), context.taskAttemptId()
         fs, root = pyarrow.fs.FileSystem.from_uri(f"{folder}/shards")
         tokens, places = f"{root}/{shard:06d}.arrow", f"{root}/{shard:06d}.docs.arrow"
@@ -173,8 +203,8 @@ def write(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = 2,
                     first = part.slice(0, 1)
                     fs.create_dir(root, recursive=True)
                     sinks = [fs.open_output_stream(f"{x}.{attempt}") for x in (tokens, places)]
-                    shard_out, docs_out = ShardWriter(sinks[0], width, rows), pa.ipc.new_file(sinks[1], schema)
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(part.column("text").to_pylist())]
+                    shard_out, docs_out = ShardWriter(sinks[0], width, rows, kind), pa.ipc.new_file(sinks[1], schema)
+                ids = [np.append(x, np.uint32(end_id)) for x in bpe.encode(part.column("text").to_pylist())]
                 n = np.array([len(x) for x in ids], np.int64)
                 docs_out.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_tokens + np.cumsum(n) - n), pa.array(n)], schema=schema))
                 shard_out.add(ids)
