@@ -8,12 +8,14 @@ prefix), and postings of one document are dropped first: a text like no other po
 Collisions are counted in two passes. First every document is held against the document it shares most
 prefix postings with among the smallest ids of its postings; whole shingle sets confirm the link. Then
 postings whose members lie in one component already are skipped, since a further link changes nothing, and
-in the others every pair of different components with enough equal coordinates is confirmed on the whole
-sets. Large postings are dealt into blocks of about `block` members, so no task gets a whole one and pairs
-that don't match are never emitted. Documents with equal shingle sets are one class from the start, and
-only the class's smallest doc_id takes part.
+in the others every pair of different components is counted again on a longer signature of one byte for each
+coordinate, made for these documents alone, and what passes is confirmed on the whole sets. Large postings
+are dealt into blocks of about `block` members, so no task gets a whole one; a pair is tried in the first
+posting that it shares and nowhere else, and pairs that don't match are never emitted. Documents with equal
+shingle sets are one class from the start, and only the class's smallest doc_id takes part.
 
-At a similarity of 0.75 a pair misses 28 of 64 coordinates with a probability of about 1e-9.
+At a similarity of 0.75 a pair has fewer than 28 of 64 equal coordinates with a probability of about 1e-9,
+and fewer than 516 of 768 equal bytes with one of about 1e-6; above 0.75 both fall fast.
 
 Edge cases: null and empty texts and texts of white space have no shingles, link with nothing and are kept.
 Texts of one to four words have one shingle. Rows with a null doc_id link with nothing, have a null
@@ -35,6 +37,7 @@ from .components import components
 from .words import LOWER, hashes, mixed, spans
 
 COORDINATES, MATCHES, WORDS, BLOCK = 64, 28, 5, 256
+LONG, LONG_MATCHES = 768, 516
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -62,21 +65,26 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.concatenate(out))[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int64)
 
 
+def minima(h: np.ndarray, at: np.ndarray, coordinates: int, seed: int) -> np.ndarray:
+    """The minimum hash of every row at each coordinate, 32 bits each; 0 for rows without shingles."""
+    draw = np.random.default_rng(seed).integers(0, 1 << 63, (2, coordinates), np.uint64)
+    some, out = np.flatnonzero(np.diff(at)), np.zeros((len(at) - 1, coordinates), np.uint32)
+    for k in range(coordinates if len(some) else 0):
+        value = ((h ^ draw[0, k]) * (draw[1, k] | np.uint64(1))) >> np.uint64(32)
+        out[some, k] = np.minimum.reduceat(value.astype(np.uint32), at[some])
+    return out
+
+
 def signatures(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, two fingerprints of the set, and the signature, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(20240229).integers(0, 1 << 63, (2, coordinates), np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 h, at = shingles(part.column("text"))
-                some = np.flatnonzero(np.diff(at))
-                sig = np.zeros((len(at) - 1, coordinates), np.uint32)
-                for k in range(coordinates if len(some) else 0):
-                    value = ((h ^ draw[0, k]) * (draw[1, k] | np.uint64(1))) >> np.uint64(32)
-                    sig[some, k] = np.minimum.reduceat(value.astype(np.uint32), at[some])
+                sig = minima(h, at, coordinates, 20240229)
                 size, f1, f2 = (np.zeros(len(at) - 1, np.int64) for _ in range(3))
-                for r in some:
+                for r in np.flatnonzero(np.diff(at)):
                     own = np.unique(h[at[r] : at[r + 1]])
                     size[r], f1[r], f2[r] = len(own), own.sum().view(np.int64), mixed(own ^ _STEP[1]).sum().view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.view(np.int32).ravel()))
@@ -105,10 +113,7 @@ def confirm(docs: DataFrame, edges: DataFrame, folder: str, name: str, percent:
     dealt = edges.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / BLOCK).cast("bigint")).alias("salt"))
     dealt = written(dealt, folder, f"{name}-dealt")
     sent = dealt.select("b", "salt", F.col("a").alias("doc"), F.lit(1).alias("place")).unionByName(dealt.select("b", "salt", F.col("b").alias("doc"), F.lit(0).alias("place")).distinct())
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").filter("doc IS NOT NULL")
-    if edges.count() <= broadcast_rows // 2:
-        sent = F.broadcast(sent)
-    rows = texts.join(sent, "doc").select("b", "salt", "place", "doc", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "place")
+    rows = texts_of(docs, sent, broadcast_rows).select("b", "salt", "place", "doc", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, base = None, np.zeros(0, np.uint64)
@@ -138,37 +143,65 @@ def leaders(posted: DataFrame, folder: str) -> DataFrame:
     return pairs.groupBy(F.col("rep").alias("a")).agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
 
 
-def open_pairs(posted: DataFrame, reps: DataFrame, comps: DataFrame, folder: str, matches: int = MATCHES, percent: int = 75, block: int = BLOCK) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs (doc, text) joined with ids (doc and more), which is broadcast where it is small."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").filter("doc IS NOT NULL")
+    return texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc")
+
+
+def long_signatures(texts: DataFrame, coordinates: int = LONG) -> DataFrame:
+    """rep, long: one byte for each coordinate; texts: doc, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1_000_000):
+                found = minima(*shingles(part.column("text")), coordinates, 20240301).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "long"])
+
+    return texts.select("doc", "text").mapInArrow(run, "rep bigint, long binary")
+
+
+def open_pairs(docs: DataFrame, posted: DataFrame, reps: DataFrame, comps: DataFrame, folder: str, matches: int = LONG_MATCHES, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """a, b: all pairs of one posting that lie in different components and match in enough coordinates."""
     marked = posted.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "rep", "df", F.coalesce("component", "rep").alias("comp"))
     marked = written(marked, folder, "marked")
-    mixed_tokens = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    mixed_tokens = written(mixed_tokens, folder, "open-tokens")
-    rows = marked.join(mixed_tokens, "token").join(reps.select("rep", "n_shingles", "sig"), "rep")
+    open_tokens = written(marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"), folder, "open-tokens")
+    coordinate = F.shiftright(F.col("token") + (1 << 31), 32).cast("int")
+    rows = written(marked.join(open_tokens, "token").withColumn("k", coordinate), folder, "open-postings")
+    posts = F.bit_or(F.expr("shiftleft(1L, k)")).alias("posts")
+    suspects = written(rows.groupBy("rep").agg(F.first("comp").alias("comp"), posts), folder, "suspects")
+    texts = texts_of(docs, suspects.select(F.col("rep").alias("doc")))
+    facts = suspects.join(reps.select("rep", "n_shingles", "sig"), "rep").join(long_signatures(texts).dropDuplicates(["rep"]), "rep")
+    facts = written(facts, folder, "suspect-facts")
     blocks = F.ceil(F.col("df") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = rows.select("token", "rep", "comp", "n_shingles", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = rows.groupBy("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    gathered = keyed.agg(F.collect_list(F.struct("rep", "comp", "n_shingles", "own", "sig")).alias("m"))
+    rows = rows.select("token", "rep", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).join(facts, "rep")
+    keyed = rows.groupBy("token", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    gathered = keyed.agg(F.collect_list(F.struct("rep", "comp", "n_shingles", "posts", "own", "sig", "long")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, p, q = batch.column("m"), batch.column("p").to_numpy(), batch.column("q").to_numpy()
+            lists = batch.column("m")
+            k_, p, q = (batch.column(c).to_numpy() for c in ("k", "p", "q"))
             flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            rep, comp, size, of = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(4))
-            sig = flat.field(4).flatten().to_numpy().reshape(len(rep), -1) if len(rep) else np.zeros((0, 1), np.int32)
+            if not len(flat):
+                continue
+            rep, comp, size, posts, of = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(5))
+            posts = (posts.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) > 0
+            sig = flat.field(5).flatten().to_numpy().reshape(len(rep), -1)
+            bytes_ = np.frombuffer(b"".join(flat.field(6).to_pylist()), np.uint8).reshape(len(rep), -1)
             out = []
-            for k in range(batch.num_rows):
-                rows = slice(at[k], at[k + 1])
-                r, c, n, o, s = rep[rows], comp[rows], size[rows], of[rows], sig[rows]
-                for i in range(len(r)):
-                    if o[i] != p[k]:
-                        continue
-                    near = (o == q[k]) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                    if p[k] == q[k]:
+            for g in range(batch.num_rows):
+                rows = slice(at[g], at[g + 1])
+                r, c, n, o, s, x, y = rep[rows], comp[rows], size[rows], of[rows], sig[rows], posts[rows], bytes_[rows]
+                for i in np.flatnonzero(o == p[g]):
+                    near = (o == q[g]) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                    if p[g] == q[g]:
                         near[: i + 1] = False
                     near = np.flatnonzero(near)
-                    for j in near[(s[near] == s[i]).sum(1) >= matches]:
+                    shared = (s[near] == s[i]) & x[near] & x[i]
+                    near = near[shared.argmax(1) == k_[g]]
+                    for j in near[(y[near] == y[i]).sum(1) >= matches]:
                         out.append((max(r[i], r[j]), min(r[i], r[j])))
             pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -186,7 +219,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     posted = postings(reps, folder)
     links = confirm(docs, leaders(posted, folder), folder, "leaders")
     comps = components(links, f"{folder}/first")
-    pairs = written(open_pairs(posted, reps, comps, folder), folder, "open-pairs")
+    pairs = written(open_pairs(docs, posted, reps, comps, folder), folder, "open-pairs")
     if not pairs.isEmpty():
         comps = components(links.unionByName(confirm(docs, pairs, folder, "open")), f"{folder}/second")
     classes = written(reps.select("f1", "f2", "n_shingles", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component")), folder, "members")
