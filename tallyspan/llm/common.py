@@ -23,8 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    """The rows of df as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
+
+    While it is written, batches between Spark and Python hold 16 MB at most, for bounded worker memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, "16777216")
+    try:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -50,7 +59,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]] if len(ends) else raw, ends - ends[0] if len(ends) else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose text column holds about most_bytes each (one row at least)."""
     if not batch.num_rows:
         return

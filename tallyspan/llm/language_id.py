@@ -157,7 +157,7 @@ def document_sums(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[
     """Sums of position probabilities, and the number of positions, of each row."""
     begin, end, row = windows(data, offsets)
     rows, classes = len(offsets) - 1, len(net.languages)
-    if not len(begin):
+    if not len(begin) or not classes:
         return np.zeros((rows, classes)), np.zeros(rows)
     _, first, back = np.unique(hashes(data, begin, end), return_index=True, return_inverse=True)
     at, n = begin[first], (end - begin)[first]

@@ -180,7 +180,7 @@ def open_pairs(docs: DataFrame, posted: DataFrame, reps: DataFrame, comps: DataF
     gathered = keyed.agg(F.collect_list(F.struct("rep", "comp", "n_shingles", "posts", "own", "sig", "long")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             lists = batch.column("m")
             k_, p, q = (batch.column(c).to_numpy() for c in ("k", "p", "q"))
             flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()

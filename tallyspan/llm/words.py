@@ -16,7 +16,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> list[np.ndarray]:
     """BASE and its inverse to the powers 0 to n - 1."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = n + n // 4
         for k, base in enumerate((BASE, INVERSE)):
             _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
     return _powers

@@ -1,0 +1,175 @@
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from tallyspan.llm import bpe, embedding_join, exact_dedup, language_id, minhash, mixing, surrogates, token_files, toxicity, url_filter
+from tallyspan.llm.common import shared_folder
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, kept string"
+BASE = " ".join(f"word{k}" for k in range(60))
+TEXTS = [None, "", " \n", "a", "a b\n  c", BASE, BASE.upper(), BASE.replace("word30", "x"), BASE.replace(" ", "  "), BASE + " " + " ".join(f"v{k}" for k in range(80)), "x" * 30000, "日本語 text's 123abc\u00a0 <|endoftext|>", " ".join(f"w{k}" for k in range(9000))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(k, t, "en", "s", 0, "clash", "clash") for k, t in enumerate(TEXTS)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_exact(docs, empty):
+    got = {r.doc_id: r for r in exact_dedup.assign(docs).collect()}
+    key = [hashlib.sha256(b"".join((t or "").encode().split())).hexdigest() for t in TEXTS]
+    for k, t in enumerate(TEXTS):
+        group = [j for j in range(len(TEXTS)) if key[j] == key[k]]
+        assert got[k].keep_id == min(group, key=lambda j: (-len(TEXTS[j] or ""), j)) and got[k].group_size == len(group)
+        assert got[k].digest.hex() == key[k]
+    assert exact_dedup.assign(empty).count() == 0
+    twice = docs.unionByName(docs)
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(twice).collect()) == sorted(r.doc_id for r in got.values() if r.kept)
+
+
+def test_index_skips_known_texts(spark, docs):
+    index = exact_dedup.DigestIndex(spark, shared_folder(spark) + "/index", 4)
+    rows = exact_dedup.digests(docs)
+    n = index.add(rows.filter("doc_id < 6"), "one").count()
+    assert index.add(rows, "two").count() + n == rows.select("digest").distinct().count()
+    assert index.add(rows.filter("doc_id < 6"), "one").count() == n
+
+
+def shingle_set(text):
+    w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in (text or "").encode().split()]
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_minhash(docs, empty, spark):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(docs).collect()}
+    sets = [shingle_set(t) for t in TEXTS]
+    parent = list(range(len(TEXTS)))
+    for a in range(len(TEXTS)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent = [min(parent[a], parent[b]) if p in (parent[a], parent[b]) else p for p in parent]
+    assert got == {k: (len(sets[k]), parent[k]) for k in range(len(TEXTS))}
+    assert minhash.near_groups(empty).count() == 0
+    assert minhash.deduplicate(docs).columns == docs.columns
+
+
+def test_bpe(docs, empty):
+    e = bpe.encoding(bpe.RANKS, public_tokenizers.PATTERN)
+    for r in bpe.digests(docs).collect():
+        t = TEXTS[r.doc_id] or ""
+        ids = e.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert bpe.digests(empty).count() == 0
+    assert "".join(bpe.safe_parts(TEXTS[-1], 100)) == TEXTS[-1] and len(list(bpe.safe_parts(TEXTS[-1], 100))) > 100
+
+
+def test_token_files(docs, empty, spark):
+    tokenizer, start = token_files.tokenizer(token_files.TOKENIZER), 0
+    got = {r.doc_id: r for r in token_files.read(token_files.write(docs, shared_folder(spark), width=16, rows=4)).collect()}
+    for k, t in enumerate(TEXTS):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[k].start, got[k].n_tokens, zlib.crc32(got[k].token_ids)) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert token_files.read(token_files.write(empty, shared_folder(spark))).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    x[20:40] = x[:20] + rng.normal(scale=0.12, size=(20, 8))
+    x[40:50] = x[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(60, None), (61, [0.0] * 8), (62, [math.nan] * 8), (63, [1.0])]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(60)
+    for _ in range(60):
+        label = np.minimum(label, np.where(near, label[None, :], 99).min(1))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.similar(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=16).collect()}
+    assert got == {k: (int(near[k].sum()), int(label[k])) for k in range(60)} | {k: (0, k) for k in range(60, 64)}
+    assert embedding_join.similar(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_mixing(spark, empty):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("abcde").alias("text"), F.when(F.col("id") < 2000, "big").otherwise("small").alias("source"))
+    got = {r.source: r["count"] for r in mixing.mix(docs, {"big": 1, "small": 1}).groupBy("source").count().collect()}
+    assert abs(got["big"] - 1500) < 120 and abs(got["small"] - 1500) < 150
+    same = lambda n: sorted((r.doc_id, r.copy) for r in mixing.mix(docs, broadcast_sources=n).collect())
+    assert same(0) == same(100)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_surrogates(spark, empty):
+    a, b = "Mr. John Smith wrote to jane.doe@mail.example.com from 10.1.2.3, card 4111 1111 1111 1111, call +1 (988) 555-2485.", "Smith? No: Mrs. Smith, jane.doe@mail.example.com, 4111111111111111"
+    df = spark.createDataFrame([(1, a), (2, b), (3, None), (4, ""), (5, "nothing here")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in surrogates.replace(df).collect()}
+    for r in got.values():
+        for secret in ("jane.doe", "4111", "John", "10.1.2.3", "988"):
+            assert secret not in (r.text or "")
+    assert got[3].text is None and got[4].text == "" and got[5].text == "nothing here" and got[5].n_entities == 0
+    mail = [w for w in got[1].text.split() if "@" in w][0]
+    assert mail in got[2].text and mail.endswith(".com")
+    assert got[1].n_entities == 5 and "email" in got[1].kinds
+    assert surrogates.replace(df.limit(0)).count() == 0
+
+
+def test_language(spark, docs):
+    en, de = "the and ing that with this from", "der und nicht sein auch eine mit"
+    rows = [(k, " ".join(np.random.default_rng(k).permutation((en if k % 2 else de).split())), "en" if k % 2 else "de") for k in range(80)] + [(90, None, "en"), (91, "123 !", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = language_id.fit(df, steps=120, batch=64)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, net).collect()}
+    assert all(got[k] == lang for k, _, lang in rows[:80]) and got[90] == got[91] == "und"
+    assert language_id.predict(df.limit(0), net).count() == 0
+    none = language_id.fit(df.limit(0))
+    assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
+
+
+def test_gru_gradient():
+    net = language_id.Network(["a", "b"], 3)
+    rng = np.random.default_rng(1)
+    data, n, label = rng.integers(0, 256, (4, 5)), np.array([5, 3, 1, 4]), np.array([0, 1, 0, 1])
+    for cell in net.cells:
+        cell.w = {k: v.astype(np.float64) for k, v in cell.w.items()}
+
+    def loss():
+        total = 0.0
+        for r in range(4):
+            p = net.positions(data[r : r + 1, : n[r]])
+            total -= np.log(p[0, :, label[r]]).sum()
+        return total / n.sum()
+
+    weights, g = next((w, g) for w, g in net._step(data, n, label) if w is net.cells[1].w["u"])
+    before, eps = weights[1, 2], 1e-3
+    weights[1, 2] = before + eps
+    up = loss()
+    weights[1, 2] = before - eps
+    assert abs((up - loss()) / (2 * eps) - g[1, 2]) < 1e-3
+
+
+def test_toxicity_grammar(spark):
+    g = toxicity.Grammar({"idiot": 2.0}, {"lowei": 3.0})
+    kinds = lambda t: {k for k, v in zip(toxicity.EVENTS, g.events(t), strict=True) if v}
+    assert kinds("you are an idiot.") == {"targeted"} and kinds("an idiot") == {"plain"}
+    assert kinds("not an idiot") == {"negated"} and kinds("he said: x. she said idiot") == {"reported"}
+    assert kinds("loweixyz!") == {"plain"} and kinds("i will kill it") == {"threat"} and not kinds("fine. words")
+    assert toxicity.score(spark.createDataFrame([(1, None), (2, "x")], "doc_id bigint, text string"), g, np.zeros(6)).count() == 2
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "HTTP://A.Example.COM/en/71?x", "x://example.com/en/5", "https://b.net/de/8", "https://example.net/de/80#t", "ftp://org/es/", "a://co.uk://x"]
+    df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id bigint, url string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
+    assert got[3] == ("a.example.com", "/en/71", "example.com/en/7", "allow") and got[4][2:] == ("com/en/", "block")
+    assert got[5][2:] == ("net/de/", "block") and got[6][2:] == ("example.net/de/8", "allow") and got[7][2:] == ("org/es/", "block")
+    assert [got[k][:3] for k in range(3)] == [("", "", None)] * 3 and len(got) == len(urls)
