@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MONTH_DAYS, NEWTON_STEPS, LEAST_MONTHS = 30.4375, 25, 12
 
@@ -16,7 +17,7 @@ _SUMS = """aggregate(series, struct(0D AS g0, 0D AS g1, 0D AS h00, 0D AS h01, 0D
     s.h00 + x.e * exp({a} + {b} * x.t) AS h00, s.h01 + x.t * x.e * exp({a} + {b} * x.t) AS h01, s.h11 + x.t * x.t * x.e * exp({a} + {b} * x.t) AS h11))"""
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
     """The normal tail probability of |z|, on one row a group; Spark has no erfc."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v is not None and not math.isnan(v) else None)
