@@ -36,19 +36,22 @@ SYLLABLES = {"latin": ["bar", "den", "fal", "gor", "hel", "kin", "lam", "mor", "
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _FIRST = "|".join(n for names in (*FIRST.values(), *FIRST_CYRILLIC.values()) for n in names)
-#: One alternative for each kind, tried in this order at each place.
+#: One alternative for each kind, tried in this order at each place. Each begins with a cheap necessary condition
+#: on one or two characters, so that most places of a text are passed without the costly part.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?[\"']?)[^\s\"',;=:]{6,}|\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}",
-    "card": r"(?<![0-9])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
-    "account": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
-    "phone": r"(?<![0-9])\+?[0-9]{0,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "person": rf"(?<=\b(?:{_TITLES})\.? ){_NAME}(?: {_NAME})?|\b(?:{_FIRST}) {_NAME}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "secret": r"(?=A)\bAKIA[0-9A-Z]{16}\b|(?<=[=: \"'])(?<=[=:] ?[\"']?)(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?[\"']?)[^\s\"',;=:]{6,}|(?=[spgx])\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}",
+    "card": r"(?=[3-6])(?:(?<![0-9])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9]))",
+    "account": r"(?=[A-Z][A-Z][0-9])\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
+    "phone": r"(?=[0-9+( .-])(?:(?<![0-9])\+?[0-9]{0,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))",
+    "person": rf"(?=\p{{Lu}})(?:(?<=[ ])(?<=\b(?:{_TITLES})\.? ){_NAME}(?: {_NAME})?|\b(?:{_FIRST}) {_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-TITLED = rf"\b({_TITLES})\.? ({_NAME})(?: ({_NAME}))?"
+#: Every secret holds or follows one of these.
+SECRET_MARKS = ["AKIA", "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xoxb", "xoxp"]
+TITLED = rf"(?=\p{{L}})\b({_TITLES})\.? ({_NAME})(?: ({_NAME}))?"
 
 
 def kind_of(value: Column) -> Column:
@@ -136,9 +139,23 @@ def fill(value: Column, bare: Column) -> Column:
     return F.aggregate(F.split(value, ""), start, step, lambda a: a["out"])
 
 
+def may_hold(text: Column) -> Column:
+    """A cheap condition that every text with a mention meets: all kinds but e-mail, secret and person need a digit."""
+    found = F.contains(text, F.lit("@")) | text.rlike("[0-9]")
+    for mark in SECRET_MARKS:
+        found = found | F.contains(text, F.lit(mark))
+    return found | text.rlike(PATTERNS["person"])
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs with __values, the mentions of each text in order (none for null): the one search of all texts."""
+    none = F.array().cast("array<string>")
+    return docs.withColumn("__values", F.when(may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), pos, sub, value, kind, entity of every mention; a name gives a row for each word."""
-    found = docs.filter(F.col("text").rlike(ANY)).select("doc_id", F.xxhash64("text").alias("h"), "text").select("doc_id", "h", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("values"), F.regexp_extract_all("text", F.lit(TITLED), F.lit(0)).alias("titled"))
+    """From tagged rows: doc_id, h (hash of the text), pos, sub, value, kind, entity of every mention; a name gives a row for each word."""
+    found = docs.filter(F.size("__values") > 0).select("doc_id", F.xxhash64("text").alias("h"), F.col("__values").alias("values"), F.regexp_extract_all("text", F.lit(TITLED), F.lit(0)).alias("titled"))
     rows = found.distinct().select("doc_id", "h", "titled", F.posexplode("values").alias("pos", "value")).withColumn("kind", kind_of(F.col("value")))
     said = F.filter("titled", lambda t: t.endswith(F.col("value")))
     gender = F.lit("n")
@@ -177,8 +194,9 @@ def distinct_surrogates(entities: DataFrame, key: str, folder: str, most: int =
 def replace(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     """docs with text replaced, n_entities and kinds (sorted, joined by `,`)."""
     folder = shared_folder(docs.sparkSession)
-    own = docs.drop("n_entities", "kinds")
-    found = written(mentions(own), folder, "mentions")
+    own = docs.drop("n_entities", "kinds", "__values")
+    marked = written(tagged(own), folder, "tagged")
+    found = written(mentions(marked), folder, "mentions")
     known = distinct_surrogates(found.select("kind", "entity").distinct(), key, folder)
     bare = F.col("kind").isin("card", "account", "ssn", "phone")
     words = found.join(known.select("kind", "entity", "surrogate"), ["kind", "entity"])
@@ -186,14 +204,14 @@ def replace(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     kind = F.when(F.col("kind").rlike("^(first|last)-"), "person").otherwise(F.col("kind"))
     by_doc = words.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "new"))).alias("words"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"))
     by_doc = by_doc.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "words", "kinds")
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    has = F.size("__values") > 0
     gaps = F.split("text", ANY, -1)
     at = lambda i: F.array_join(F.transform(F.filter("words", lambda w: w["pos"] == i), lambda w: w["new"]), " ")
     n = F.element_at("words", -1)["pos"] + 1
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(i < n, at(i)).otherwise(F.lit("")))), "")
-    hit = own.filter(has).join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__h")))
+    hit = marked.filter(has).join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__h")))
     hit = hit.withColumns({"text": text, "n_entities": n.cast("bigint")}).select(*own.columns, "n_entities", "kinds")
-    rest = own.filter(~has).withColumns({"n_entities": F.lit(0).cast("bigint"), "kinds": F.lit("")})
+    rest = marked.filter(~has).withColumns({"n_entities": F.lit(0).cast("bigint"), "kinds": F.lit("")})
     return hit.unionByName(rest.select(*own.columns, "n_entities", "kinds"))
 
 
