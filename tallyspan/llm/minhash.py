@@ -10,7 +10,8 @@ prefix postings with among the smallest ids of its postings; whole shingle sets
 postings whose members lie in one component already are skipped, since a further link changes nothing, and
 in the others every pair of different components is counted again on a longer signature of one byte for each
 coordinate, made for these documents alone, and what passes is confirmed on the whole sets. Large postings
-are dealt into blocks of about `block` members, so no task gets a whole one; a pair is tried in the first
+are dealt into blocks of about `block` members, so no task gets a whole one, and members of a posting's
+largest component meet only the others; a pair is tried in the first
 posting that it shares and nowhere else, and pairs that don't match are never emitted. Documents with equal
 shingle sets are one class from the start, and only the class's smallest doc_id takes part.
 
@@ -173,9 +174,23 @@ def open_pairs(docs: DataFrame, posted: DataFrame, reps: DataFrame, comps: DataF
     texts = texts_of(docs, suspects.select(F.col("rep").alias("doc")))
     facts = suspects.join(reps.select("rep", "n_shingles", "sig"), "rep").join(long_signatures(texts).dropDuplicates(["rep"]), "rep")
     facts = written(facts, folder, "suspect-facts")
-    blocks = F.ceil(F.col("df") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = rows.select("token", "rep", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).join(facts, "rep")
+    # In a posting beyond one block, the component with the most members is dealt into blocks of one kind, the rest
+    # into blocks of another; two blocks of the first kind need not meet, as their members are linked already.
+    sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = F.max(F.struct("n", "comp"))
+    shape = sizes.groupBy("token").agg(main.alias("main"), F.sum("n").alias("members"))
+    split, counted = F.col("members") > block, lambda n: F.ceil(n / block).cast("int")
+    shape = shape.select(
+        "token",
+        F.when(split, F.col("main.comp")).alias("main"),
+        F.when(split, counted(F.col("main.n"))).otherwise(F.lit(0)).alias("inner"),
+        F.when(split, counted(F.col("members") - F.col("main.n"))).otherwise(F.lit(1)).alias("outer"),
+    )
+    rows = rows.join(written(shape, folder, "shapes"), "token")
+    inside, h = F.coalesce(F.col("comp") == F.col("main"), F.lit(False)), F.xxhash64("rep")
+    own = F.when(inside, F.col("outer") + F.pmod(h, "inner")).otherwise(F.pmod(h, "outer")).cast("int")
+    last = F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    rows = rows.select("token", "rep", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other")).join(facts, "rep")
     keyed = rows.groupBy("token", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     gathered = keyed.agg(F.collect_list(F.struct("rep", "comp", "n_shingles", "posts", "own", "sig", "long")).alias("m"))
 
