@@ -63,6 +63,20 @@ def test_minhash(docs, empty, spark):
     assert minhash.deduplicate(docs).columns == docs.columns
 
 
+def test_minhash_blocks(spark):
+    """A posting dealt into small blocks, its largest component apart, gives the pairs of one whole block."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(words[:20] + [f"x{i}"] + words[21:])) for i in range(30)] + [(99, "nothing like the others at all here")]
+    docs, folder = spark.createDataFrame(rows, "doc_id bigint, text string"), shared_folder(spark)
+    reps = minhash.signatures(docs).select(F.col("doc_id").alias("rep"), "sig", "n_shingles")
+    posted = minhash.postings(reps, folder)
+    comps = spark.createDataFrame([(i, 0) for i in range(14)] + [(i, 20) for i in range(20, 23)], "node bigint, component bigint")
+    of = {r.node: r.component for r in comps.collect()}
+    found = [sorted((r.a, r.b) for r in minhash.open_pairs(docs, posted, reps, comps, shared_folder(spark), block=b).collect()) for b in (256, 4)]
+    assert found[0] == found[1]
+    assert found[0] == sorted((a, b) for a in range(30) for b in range(a) if of.get(a, a) != of.get(b, b))
+
+
 def test_bpe(docs, empty):
     e = bpe.encoding(bpe.RANKS, public_tokenizers.PATTERN)
     for r in bpe.digests(docs).collect():
