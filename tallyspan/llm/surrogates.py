@@ -14,11 +14,15 @@ collision is left. Built from DataFrame functions alone; texts without entities
 
 Edge cases: null text stays null with no entities; an empty text stays empty. Rows that repeat doc_id and
 text get the same result. Entities are found in whole texts of any length. An empty table gives an empty
-result. Extra columns pass through unless they carry the name of a result.
+result. Extra columns pass through unless they carry the name of a result. The label of a secret may be in any
+case and may end a longer name (`TOKEN = `, `Password: `, `auth_token=`).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ _FIRST = "|".join(n for names in (*FIRST.values(), *FIRST_CYRILLIC.values()) for
 #: on one or two characters, so that most places of a text are passed without the costly part.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?=A)\bAKIA[0-9A-Z]{16}\b|(?<=[=: \"'])(?<=[=:] ?[\"']?)(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?[\"']?)[^\s\"',;=:]{6,}|(?=[spgx])\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}",
+    "secret": r"(?=A)\bAKIA[0-9A-Z]{16}\b|(?<=[=: \"'])(?<=[=:] ?[\"']?)(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?[\"']?)[^\s\"',;=:]{6,}|(?=[spgx])\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}",
     "card": r"(?=[3-6])(?:(?<![0-9])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9]))",
     "account": r"(?=[A-Z][A-Z][0-9])\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -49,8 +53,8 @@ PATTERNS = {
     "person": rf"(?=\p{{Lu}})(?:(?<=[ ])(?<=\b(?:{_TITLES})\.? ){_NAME}(?: {_NAME})?|\b(?:{_FIRST}) {_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every secret holds or follows one of these.
-SECRET_MARKS = ["AKIA", "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xoxb", "xoxp"]
+#: Every secret holds or follows one of these, in any case.
+SECRET_MARKS = ["akia", "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xoxb", "xoxp"]
 TITLED = rf"(?=\p{{L}})\b({_TITLES})\.? ({_NAME})(?: ({_NAME}))?"
 
 
@@ -142,9 +146,9 @@ def fill(value: Column, bare: Column) -> Column:
 def may_hold(text: Column) -> Column:
     """A cheap condition that every text with a mention meets: all kinds but e-mail, secret and person need a digit."""
     found = F.contains(text, F.lit("@")) | text.rlike("[0-9]")
-    for mark in SECRET_MARKS:
-        found = found | F.contains(text, F.lit(mark))
-    return found | text.rlike(PATTERNS["person"])
+    # The lambda has the lower-case text made once for all marks.
+    marked = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, (F.contains(t, F.lit(mark)) for mark in SECRET_MARKS)))
+    return found | marked | text.rlike(PATTERNS["person"])
 
 
 def tagged(docs: DataFrame) -> DataFrame:

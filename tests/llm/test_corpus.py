@@ -148,6 +148,21 @@ def test_surrogate_gate(spark):
     assert {r.doc_id: r.n_entities for r in surrogates.replace(df).collect()}[2 * len(alone)] == 0
 
 
+def test_surrogate_labels(spark):
+    """Labels of secrets in any case and at the end of a longer name; words that only hold a label are none."""
+    secret = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    labels = ['TOKEN = "', "PASSWORD=", "Password: ", "API_KEY='", "ApiKey: ", "auth_token=", "DB-PASSWORD: ", "clientSecret=", "Pwd:"]
+    clean = ["Tokens: seventeen", "a SECRET garden", "Secretary: nobody", "no mention of it"]
+    rows = [(k, f"so {t}{secret} so") for k, t in enumerate(labels)] + [(50 + k, t) for k, t in enumerate(clean)]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    new = got[0].text.split('"')[1].split()[0]
+    assert new != secret and len(new) == len(secret)
+    for k, t in enumerate(labels):
+        assert (got[k].text, got[k].n_entities, got[k].kinds) == (f"so {t}{new} so", 1, "secret")
+    for k, t in enumerate(clean):
+        assert (got[50 + k].text, got[50 + k].n_entities) == (t, 0)
+
+
 def test_language(spark, docs):
     en, de = "the and ing that with this from", "der und nicht sein auch eine mit"
     rows = [(k, " ".join(np.random.default_rng(k).permutation((en if k % 2 else de).split())), "en" if k % 2 else "de") for k in range(80)] + [(90, None, "en"), (91, "123 !", None)]
