@@ -10,7 +10,9 @@ their range, e-mails their shape and top-level domain, secrets their character c
 
 Collision check: all distinct entities of the corpus are grouped by their surrogate; where two share one,
 or a surrogate is itself an entity of the corpus, all but the first try the next attempt number, until no
-collision is left. Built from DataFrame functions alone; texts without entities are never shuffled.
+collision is left. Surnames, secrets, e-mails and phone numbers grow with the attempts, so a free surrogate is
+found for any number of entities, and for secrets without a letter or digit; the formats of the other kinds
+are fixed (a billion social-security numbers, four billion IP addresses, more of cards and accounts). Built from DataFrame functions alone; texts without entities are never shuffled.
 
 Edge cases: null text stays null with no entities; an empty text stays empty. Rows that repeat doc_id and
 text get the same result. Entities are found in whole texts of any length. An empty table gives an empty
@@ -36,6 +38,7 @@ FIRST = {
 }
 FIRST_CYRILLIC = {"m": ["Иван", "Пётр", "Алексей", "Дмитрий", "Сергей", "Николай", "Борис", "Олег"], "f": ["Мария", "Ольга", "Анна", "Елена", "Татьяна", "Наталья", "Ирина", "Светлана"]}
 SYLLABLES = {"latin": ["bar", "den", "fal", "gor", "hel", "kin", "lam", "mor", "nel", "par", "ros", "sten", "tal", "ver", "wil", "zan"], "cyrillic": ["бар", "ден", "фал", "гор", "хел", "кин", "лам", "мор", "нел", "пар", "рос", "стен", "тал", "вер", "вил", "зан"]}
+LETTERS, DIGITS = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
 
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLES = "|".join(t for ts in TITLES.values() for t in ts)
@@ -86,13 +89,17 @@ def pick(words: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), number + 1)
 
 
+def drawn(words: list[str], h: Column, n: Column, start: int = 0) -> Column:
+    """n words, each chosen by its own place of h from `start` on, joined; none for n < 1."""
+    one = lambda k: pick(words, number_at(h, k + start, len(words)))
+    return F.when(n < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one), ""))
+
+
 def same_classes(value: Column, h: Column, keep: Column) -> Column:
     """value with each letter and digit after the first `keep` characters replaced by another of its class."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-
     def one(c: Column, i: Column) -> Column:
         n = number_at(h, i, 26)
-        lower = F.substr(F.lit(letters), n + 1, F.lit(1))
+        lower = F.substr(F.lit("".join(LETTERS)), n + 1, F.lit(1))
         return F.when(i < keep, c).when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), F.upper(lower)).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
@@ -111,36 +118,40 @@ def check_digit(head: Column) -> Column:
 
 
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate of a canonical entity. Kinds of name words: first-m, first-f, last, with their script."""
+    """The canonical surrogate of a canonical entity. Kinds of name words: first-m, first-f, last, with their script.
+
+    Surnames and secrets get longer with every second attempt, e-mails and phone numbers with every eighth, so
+    the surrogates to choose from outgrow any number of entities.
+    """
     h = hex_of(key, kind, entity, attempt)
     top = F.regexp_extract(entity, r"\.[^.@]+$", 0)
-    email = F.concat(same_classes(F.substr(entity, F.lit(1), F.length(entity) - F.length(top)), h, F.lit(0)), top)
+    longer = lambda words, every: drawn(words, h, F.floor(attempt / every).cast("int"), 20)
+    email = F.concat(longer(LETTERS, 8), same_classes(F.substr(entity, F.lit(1), F.length(entity) - F.length(top)), h, F.lit(0)), top)
     head = same_classes(F.substr(entity, F.lit(1), F.length(entity) - 1), h, F.lit(1))
     card = F.concat(head, check_digit(head))
     octet = lambda i: (number_at(h, F.lit(i), 254) + 1).cast("string")
     ip = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
-    phone = same_classes(entity, h, F.greatest(F.length(entity) - 10, F.lit(0)))
-    secret = same_classes(entity, h, F.when(entity.startswith("AKIA"), 4).otherwise(0))
+    phone = F.concat(same_classes(entity, h, F.greatest(F.length(entity) - 10, F.lit(0))), longer(DIGITS, 8))
+    secret = F.concat(same_classes(entity, h, F.when(entity.startswith("AKIA"), 4).otherwise(0)), longer(LETTERS, 2))
     out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", same_classes(entity, h, F.lit(0))).when(kind == "account", same_classes(entity, h, F.lit(2)))
     for script, lists in (("latin", FIRST), ("cyrillic", FIRST_CYRILLIC)):
         for gender, names in lists.items():
             words = [pick(names, number_at(h, F.lit(k), len(names))) for k in range(3)]
             first = F.when(attempt == 0, words[0]).when(attempt < 4, F.concat_ws("-", *words[:2])).otherwise(F.concat_ws("-", *words))
             out = out.when(kind == f"first-{gender}-{script}", first)
-        parts = [pick(SYLLABLES[script], number_at(h, F.lit(k), 16)) for k in range(4)]
-        out = out.when(kind == f"last-{script}", F.initcap(F.when(attempt < 2, F.concat(*parts[:3])).otherwise(F.concat(*parts))))
+        out = out.when(kind == f"last-{script}", F.initcap(drawn(SYLLABLES[script], h, F.floor(attempt / 2).cast("int") + 3)))
     return out.otherwise(secret)
 
 
 def fill(value: Column, bare: Column) -> Column:
-    """The separators of value with the letters and digits of bare, in order."""
+    """The separators of value with the letters and digits of bare, in order; what bare has more comes last."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
     def step(a: Column, c: Column) -> Column:
         sep = c.rlike(r"[ .()+-]") | (c == "")
         return F.struct(F.concat(a["out"], F.when(sep, c).otherwise(F.substr(bare, a["i"], F.lit(1)))).alias("out"), (a["i"] + F.when(sep, 0).otherwise(1)).alias("i"))
 
-    return F.aggregate(F.split(value, ""), start, step, lambda a: a["out"])
+    return F.aggregate(F.split(value, ""), start, step, lambda a: F.concat(a["out"], F.substr(bare, a["i"], F.length(bare))))
 
 
 def may_hold(text: Column) -> Column:

@@ -163,6 +163,21 @@ def test_surrogate_labels(spark):
         assert (got[50 + k].text, got[50 + k].n_entities) == (t, 0)
 
 
+def test_surrogate_pool(spark, monkeypatch):
+    """A free surrogate is found for more entities than the shortest surrogates, and for secrets of signs alone."""
+    monkeypatch.setattr(surrogates, "SYLLABLES", {script: (words * 8)[:1] * 8 + words[1:2] * 8 for script, words in surrogates.SYLLABLES.items()})
+    real = [("last-latin", f"Name{k}") for k in range(40)] + [("last-latin", "Barbarbar"), ("last-cyrillic", "Барбарбар")]
+    real += [("secret", t) for t in ("******", "пароль", "a-----", "b-----")] + [("email", f"{c}@{d}.de") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]
+    got = surrogates.distinct_surrogates(spark.createDataFrame(real, "kind string, entity string"), "key", shared_folder(spark)).collect()
+    assert sorted((r.kind, r.entity) for r in got) == sorted(real)
+    new = [(r.kind, r.surrogate) for r in got]
+    assert len(set(new)) == len(new) and not set(new) & set(real)
+    text = "password: ****** for Mrs. Weber"
+    assert "******" not in surrogates.replace(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().text.split()
+    rows = spark.createDataFrame([("+1 22 33", "98765"), ("+1 22 33", "9876543")], "value string, bare string")
+    assert [r[0] for r in rows.select(surrogates.fill(F.col("value"), F.col("bare"))).collect()] == ["+9 87 65", "+9 87 6543"]
+
+
 def test_language(spark, docs):
     en, de = "the and ing that with this from", "der und nicht sein auch eine mit"
     rows = [(k, " ".join(np.random.default_rng(k).permutation((en if k % 2 else de).split())), "en" if k % 2 else "de") for k in range(80)] + [(90, None, "en"), (91, "123 !", None)]
