@@ -188,8 +188,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
     return net
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs."""
+def predict(docs: DataFrame, net: Network, *carried: str) -> DataFrame:
+    """doc_id, lang_pred, score and the columns of `carried` for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(["und", *net.languages], object)
@@ -201,18 +201,24 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                 best = share.argmax(1) if len(net.languages) else np.zeros(len(n), int)
                 score = np.where(some, np.clip(share.max(1), 0, 1), 0.0) if len(net.languages) else np.zeros(len(n))
                 pred = names[np.where(some & bool(len(net.languages)), best + 1, 0)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *map(part.column, carried)], names=["doc_id", "lang_pred", "score", *carried])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *carried)}
+    more = "".join(f", {c} {kinds[c]}" for c in carried)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", "text", letter.alias("letter")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text", letter.alias("letter"), *carried).mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double{more}")
 
 
 def keep_languages(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without the rows that have no letter or whose best language has a score under `least`."""
+    """docs without the rows that have no letter or whose best language has a score under `least`.
+
+    Decided by row: other texts under the doc_id of a rejected row, or also without one, stay.
+    """
     net = fit(docs.filter(fold_of(F.col("doc_id"), 4) != 2))
-    gone = predict(docs, net).filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()
-    return without(docs, written(gone, shared_folder(docs.sparkSession), "rejected"), {"doc_id": docs["doc_id"]})
+    digest = F.sha2("text", 256)
+    rows = predict(docs.select("doc_id", "text", digest.alias("digest")), net, "digest")
+    gone = rows.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id", "digest").distinct()
+    return without(docs, written(gone, shared_folder(docs.sparkSession), "rejected"), {"doc_id": docs["doc_id"], "digest": digest})
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

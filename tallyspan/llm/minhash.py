@@ -21,7 +21,8 @@ and fewer than 516 of 768 equal bytes with one of about 1e-6; above 0.75 both fa
 Edge cases: null and empty texts and texts of white space have no shingles, link with nothing and are kept.
 Texts of one to four words have one shingle. Rows with a null doc_id link with nothing, have a null
 component and are kept. doc_id names a document: rows that repeat one are one node. An empty table gives an
-empty result. Extra columns pass through `deduplicate`.
+empty result. `deduplicate` goes by rows instead: null or repeated ids neither hide near-duplicates nor take
+other texts with them. Extra columns pass through it.
 """
 
 from __future__ import annotations
@@ -246,9 +247,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates: one document of each group stays, with all its columns."""
-    gone = written(near_groups(docs).filter("NOT kept").select("doc_id").distinct(), shared_folder(docs.sparkSession), "gone")
-    return without(docs, gone, {"doc_id": docs["doc_id"].cast("bigint")})
+    """docs without the near-duplicates: one row of each group stays, with all its columns.
+
+    Where a doc_id is null or repeated the rows are written once more, numbered, and grouped by their numbers; of
+    a group the smallest doc_id stays, null last, of equal ones the first row.
+    """
+    spark = docs.sparkSession
+    folder, doc_id = shared_folder(spark), F.col("doc_id").cast("bigint")
+    if docs.groupBy(doc_id.alias("id")).count().filter("id IS NULL OR count > 1").isEmpty():
+        gone = written(near_groups(docs).filter("NOT kept").select("doc_id"), folder, "gone")
+        return without(docs, gone, {"doc_id": docs["doc_id"].cast("bigint")})
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
+    groups = near_groups(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    groups = written(rows.select("__row", doc_id.alias("id")).join(groups, "__row"), folder, "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))
+    stay = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = written(groups.join(stay, "__row", "left_anti").select("__row"), folder, "gone")
+    return without(rows, gone, {"__row": rows["__row"]}).drop("__row")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

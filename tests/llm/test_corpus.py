@@ -190,6 +190,39 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def test_language_filter_by_row(spark):
+    """A rejected row takes no other text under its doc_id along, nor other rows with a null doc_id."""
+    rows = [(k, f"{t} {k}", lang) for k in range(40) for t, lang in [("the and this from", "en") if k % 2 else ("der und nicht mit", "de")]]
+    rows += [(None, t, None) for t in ("", "the and this", "der und nicht", None)] + [(7, "123 !", None), (7, "from the and", None), (7, "123 !", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    order = lambda rs: sorted(map(tuple, rs), key=repr)
+    assert order(language_id.keep_languages(df).collect()) == order(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+
+
+def near_kept(rows):
+    """By brute force, the rows (doc_id, text, ...) that stay: of each group the smallest doc_id, null last."""
+    sets, parent = [shingle_set(r[1]) for r in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent = [min(parent[a], parent[b]) if p in (parent[a], parent[b]) else p for p in parent]
+    by = {}
+    for k, r in enumerate(rows):
+        by.setdefault(parent[k], []).append((r[0] is None, r[0] or 0, k))
+    return [rows[min(group)[2]] for group in by.values()]
+
+
+def test_minhash_deduplicate_by_row(spark):
+    """Which rows stay, with distinct ids and with null and repeated ones."""
+    other = " ".join(f"other{k}" for k in range(40))
+    plain = [(3, BASE), (5, BASE.replace("word30", "x")), (6, other), (7, "a b"), (8, None), (9, "")]
+    odd = [(5, other), (5, BASE.replace("word31", "y")), (None, other + " end"), (None, BASE.upper()), (None, "alone in the whole table here"), (7, "a b"), (7, "c d"), (None, None), (None, "")]
+    order = lambda rs: sorted(map(tuple, rs), key=repr)
+    for rows in (plain, plain + odd):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert order(minhash.deduplicate(df).collect()) == order(near_kept(rows))
+
+
 def test_gru_gradient():
     net = language_id.Network(["a", "b"], 3)
     rng = np.random.default_rng(1)
