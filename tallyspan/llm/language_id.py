@@ -1,7 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled rows
-(`sample_rows` documents, `steps` batches of `batch` byte windows; all are parameters). It labels every
+(`sample_rows` documents, `steps` batches of `batch` byte windows; all are parameters). Every language of the
+labelled rows is learned, however rare; the sample is shared equally among them. It labels every
 byte position; a document's probabilities are the mean over all its positions, so the whole text counts.
 
 A window is a word or, in longer words, its consecutive parts of `WINDOW` bytes; the network starts anew
@@ -21,10 +22,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, shared_folder, slices, table, text_buffers, without, written
+from .common import fold_of, shared_folder, slices, table, text_buffers, without, written
 from .words import hashes, spans
 
 WINDOW, HIDDEN, SAMPLE_ROWS, SAMPLE_CHARS = 16, 12, 2000, 3000
@@ -171,13 +172,35 @@ def document_sums(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return sums, np.bincount(row, end - begin, rows)
 
 
+def spread(text: Column, chars: int, pieces: int = 10) -> Column:
+    """text, or where it is longer than `chars` as many characters in equal pieces from its begin to its end."""
+    size = chars // pieces
+    begin = lambda k: F.floor(k * (F.length(text) - size) / (pieces - 1)).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substr(text, begin(k), F.lit(size)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(parts, " "))
+
+
+def training_rows(docs: DataFrame, rows: int, chars: int, least: int = 20) -> tuple[list[str], DataFrame]:
+    """All languages of docs, and lang, h, text of about `rows` labelled rows at most.
+
+    Every language has an equal share (`least` at least) or all its rows, chosen by a hash of doc_id and text;
+    rows that repeat both count once.
+    """
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    counts = written(known.select("lang", "h").distinct().groupBy("lang").count(), shared_folder(docs.sparkSession), "languages")
+    languages = sorted(r.lang for r in counts.select("lang").collect())
+    share = max(least, rows // max(len(languages), 1))
+    rates = counts.select("lang", (F.lit(float(share)) / F.col("count")).alias("rate"))
+    chosen = known.join(F.broadcast(rates), "lang").filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("rate"))
+    return languages, chosen.select("lang", "h", spread(F.col("text"), chars).alias("text")).dropDuplicates(["lang", "h"])
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, steps: int = 400, batch: int = 512) -> Network:
     """Train on about sample_rows of the rows of docs (doc_id, text, lang) with a language, sample_chars characters of each."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang")
-    sample = bounded_sample(known, "doc_id", sample_rows).orderBy(F.xxhash64("doc_id", "text")).toArrow()
-    languages = sorted(set(sample.column("lang").to_pylist()))
+    languages, chosen = training_rows(docs, sample_rows, sample_chars)
     net = Network(languages)
     if languages:
+        sample = chosen.orderBy("h", "lang").toArrow()
         data, offsets = text_buffers(sample.column("text").combine_chunks())
         begin, end, row = windows(data, offsets)
         label = np.searchsorted(languages, np.array(sample.column("lang").to_pylist()))[row]

@@ -190,6 +190,17 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def test_language_sample(spark):
+    """Rare languages are learned, rows with a null or one repeated doc_id don't swell the sample, and texts count to their end."""
+    rows = [(None if k % 2 else 5, f"the and {k} " + "word " * 900 + "tail", "de" if k % 3 else "en") for k in range(3000)] + [(None, "le rare", "fr")] + [(5, "same", "es")] * 2000
+    languages, chosen = language_id.training_rows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 200, 3000)
+    got = chosen.collect()
+    n = {lang: sum(r.lang == lang for r in got) for lang in languages}
+    assert languages == ["de", "en", "es", "fr"] and n["es"] == n["fr"] == 1
+    assert 20 < n["de"] < 90 and 20 < n["en"] < 90
+    assert all(len(r.text) <= 3009 and (r.text.startswith("the and") and r.text.endswith("tail")) for r in got if r.lang in ("de", "en"))
+
+
 def test_language_filter_by_row(spark):
     """A rejected row takes no other text under its doc_id along, nor other rows with a null doc_id."""
     rows = [(k, f"{t} {k}", lang) for k in range(40) for t, lang in [("the and this from", "en") if k % 2 else ("der und nicht mit", "de")]]
