@@ -9,15 +9,17 @@ number of links of each vector and a spanning forest of the links, never the lin
 
 Vectors with equal components are one node with a weight from the start.
 
-Edge cases: null vectors, zero vectors, vectors with null or non-finite components, and vectors of another
-length than most link with nothing: n_links 0, component_id = vec_id, kept. Rows with a null vec_id too, with
-a null component_id. Rows that repeat a vec_id and its vector count as several vectors under one id. An empty
+Vectors of different lengths never link; each length is joined on its own, one after the other.
+
+Edge cases: null vectors, zero vectors and vectors with null or non-finite components link with nothing:
+n_links 0, component_id = vec_id, kept. Rows with a null vec_id too, with a null component_id. Rows that repeat a vec_id and its vector count as several vectors under one id. An empty
 table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -195,19 +197,9 @@ def block_links(pairs: DataFrame, held: DataFrame, size: int, least: float, basi
     return pairs.join(x, "i").join(y, "j").select("i", "j", "x", "y").mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def similar(vectors: DataFrame, least: float = 0.95, leading: int = LEADING, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    folder = shared_folder(spark)
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")))
-    good = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    sizes = rows.filter(good).groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    size = sizes["size"]
-    good = good & (F.size("v") == size)
-    nodes = written(rows.filter(good).groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "w", "v"), folder, "nodes")
+def linked_nodes(rows: DataFrame, size: int, least: float, leading: int, block: int, folder: str) -> DataFrame:
+    """v, n_links, component_id of every distinct vector of rows (vec_id, v), all of one length."""
+    nodes = written(rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "w", "v"), folder, "nodes")
     basis, n = axes(nodes, size, min(leading, size))
     held = blocks(nodes, size, basis, n, float(np.sqrt(2 - 2 * least)), folder, block)
     boxes = held.select("idx", "lo", "hi")
@@ -217,7 +209,23 @@ def similar(vectors: DataFrame, least: float = 0.95, leading: int = LEADING, blo
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comps = components(found.filter("b IS NOT NULL").select("a", "b"), folder)
     facts = nodes.join(counts, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    facts = written(facts.select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), folder, "facts")
+    return written(facts.select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), folder, "facts")
+
+
+def similar(vectors: DataFrame, least: float = 0.95, leading: int = LEADING, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
+    spark = vectors.sparkSession
+    folder = shared_folder(spark)
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")))
+    good = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
+    counts = rows.filter(good).groupBy(F.size("v").alias("size")).count().filter("count > 1").orderBy("size").collect()
+    sizes = [r["size"] for r in counts]
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    good = good & F.size("v").isin(sizes)
+    found = [linked_nodes(rows.filter(good & (F.size("v") == size)), size, least, leading, block, f"{folder}/{size}") for size in sizes]
+    facts = reduce(DataFrame.unionByName, found)
     linked = rows.filter(good).join(facts, "v").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~good).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -114,6 +114,17 @@ def test_embeddings(spark):
     assert embedding_join.similar(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_embeddings_by_length(spark):
+    """Links within a length that few vectors have are found, and none across lengths."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(20)] + [(30, [1.0, 2.0, 3.0]), (31, [2.0, 4.0, 6.1]), (32, [1.0, 2.0, 3.0]), (33, [-1.0, 2.0, 0.0]), (40, [5.0]), (41, [1.0]), (42, [-1.0]), (50, [1.0, 2.0])]
+    u = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [[b for b, (j, w) in enumerate(rows) if j != k and len(w) == len(v) and u[a] @ u[b] >= 0.95] for a, (k, v) in enumerate(rows)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.similar(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=16).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(near[a]) for a, (k, _) in enumerate(rows)}
+    assert [got[k] for k in (30, 31, 32, 33, 40, 41, 42, 50)] == [(2, 30), (2, 30), (2, 30), (0, 33), (1, 40), (1, 40), (0, 42), (0, 50)]
+
+
 def test_mixing(spark, empty):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("abcde").alias("text"), F.when(F.col("id") < 2000, "big").otherwise("small").alias("source"))
     got = {r.source: r["count"] for r in mixing.mix(docs, {"big": 1, "small": 1}).groupBy("source").count().collect()}
