@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from tallyspan.llm import bpe, embedding_join, exact_dedup, language_id, minhash, mixing, surrogates, token_files, toxicity, url_filter
 from tallyspan.llm.common import shared_folder
@@ -245,6 +246,60 @@ def test_minhash_deduplicate_by_row(spark):
         assert order(minhash.deduplicate(df).collect()) == order(near_kept(rows))
 
 
+def exact_kept(rows):
+    """Of rows (doc_id, text, ...) equal without white space, the longest, then the smallest doc_id, null last."""
+    by = {}
+    for r in rows:
+        by.setdefault("".join(c for c in r[1] or "" if c not in " \t\n\v\f\r"), []).append(r)
+    return [min(group, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for group in by.values()]
+
+
+def mixed_rows(rows):
+    """Every row (doc_id, text, lang, source, ...) as often as its draw falls in its source's Poisson distribution."""
+    chars = {}
+    for r in rows:
+        chars[r[3]] = chars.get(r[3], 0) + len(r[1] or "")
+    target = {s: n**0.7 for s, n in chars.items()}
+    out = []
+    for r in rows:
+        rate = round(sum(chars.values()) / sum(target.values()) * target[r[3]] / chars[r[3]], 9)
+        u = int(hashlib.md5(f"{'' if r[0] is None else r[0]}|mix-1".encode()).hexdigest()[:13], 16) / (1 << 52)
+        k, term = 0, math.exp(-rate)
+        total = term
+        while total < u:
+            k += 1
+            term *= rate / k
+            total += term
+        out += [r] * k
+    return out
+
+
+def test_pipeline_stages(spark):
+    """Each stage's rows against plain Python, with null and repeated doc_ids."""
+    words = ["the and this from that with", "der und nicht mit auch eine"]
+    texts = [(k, f"{words[k % 2]} {k} {k * 7} {k * 11} {k * 13}") for k in range(40)]
+    texts += [(50, BASE), (51, BASE.replace("word30", "x")), (52, BASE.replace(" ", "  ")), (53, "12 !"), (54, None), (55, "")]
+    texts += [(None, ""), (None, "12 !"), (None, "the end of the text"), (None, BASE.replace("word31", "y")), (None, "das Ende vom Text"), (None, "das Ende  vom Text")]
+    texts += [(53, "a text with this id too"), (51, "one more text under the id"), (7, "12 34"), (3, texts[8][1])]
+    rows = [(i, t, ("en", "de")[k % 2] if k < 40 else None, "s" if k % 3 else "t", len(t or "")) for k, (i, t) in enumerate(texts)]
+    rows.append(rows[7])
+    encoding = bpe.encoding(bpe.RANKS, public_tokenizers.PATTERN)
+
+    def encoded(rs):
+        for r in rs:
+            ids = encoding.encode_ordinary(r[1] or "")
+            yield r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()
+
+    plain = {"language_id": lambda rs: [r for r in rs if any(c.isalpha() for c in r[1] or "")], "exact_dedup": exact_kept, "minhash": near_kept, "mixing": mixed_rows, "byte_bpe": encoded}
+    order = lambda rs: sorted(map(tuple, rs), key=repr)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        before = order(df.collect())
+        df = stage(spark, spark.createDataFrame(before, df.schema), "")
+        got = df.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256") if name == "byte_bpe" else df
+        assert order(got.collect()) == order(plain[name](before)), name
+
+
 def test_gru_gradient():
     net = language_id.Network(["a", "b"], 3)
     rng = np.random.default_rng(1)
