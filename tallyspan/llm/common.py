@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; only where that is unset (tests) a local one is chosen."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset, local mode gets a folder of its own; a cluster, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyspan-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-tallyspan-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -25,11 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
 
-    While it is written, batches between Spark and Python hold 16 MB at most, for bounded worker memory.
+    While it is written, batches between Spark and Python hold 4 MB at most (one row at least), for bounded
+    memory of the workers and of the executor's buffers.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(key, None)
-    conf.set(key, "16777216")
+    conf.set(key, str(4 << 20))
     try:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
     finally:
@@ -59,7 +62,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]] if len(ends) else raw, ends - ends[0] if len(ends) else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose text column holds about most_bytes each (one row at least)."""
     if not batch.num_rows:
         return
@@ -71,11 +74,15 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_500_000) -> I
             yield batch.slice(a, b - a)
 
 
+def in_part(key: Column, part: float) -> Column:
+    """True for the part (0 to 1) of all keys that a 64-bit hash picks, even at many billions of rows; all for 1."""
+    return F.lit(True) if part >= 1 else F.xxhash64(key) < F.lit(int(part * (1 << 64)) - (1 << 63))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About `rows` rows of df at most, chosen by a hash of key; all rows where there are fewer."""
     n = df.count()
-    part = min(1.0, rows / n) if n else 1.0
-    return df if part == 1.0 else df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(part * 1_000_000))
+    return df.filter(in_part(F.col(key), rows / n if n else 1.0))
 
 
 def without(docs: DataFrame, dropped: DataFrame, on: dict[str, Column], broadcast_rows: int = 500_000) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 #: The six white-space bytes, and an odd base with its inverse modulo 2**64.
@@ -10,16 +12,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BLOCK = 1 << 18
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """BASE and its inverse to the powers 0 to n - 1."""
-    if len(_powers[0]) < n:
-        size = n + n // 4
-        for k, base in enumerate((BASE, INVERSE)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
-    return _powers
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 to 2 * BLOCK."""
+    size = 2 * BLOCK
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))]) for base in (BASE, INVERSE))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -47,7 +47,22 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    power, inverse = _power(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
-    return mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each span of bytes: sum of (byte + 1) * BASE ** place, mixed. Spans are in order and disjoint.
+
+    Goes by blocks of bytes, so what it holds beside the result is bounded however long a text or a span is.
+    """
+    power, inverse = _powers()
+    out = np.empty(len(begin), np.uint64)
+    cuts = np.unique(np.searchsorted(begin, np.arange(0, len(data) + BLOCK, BLOCK)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        lo = begin[i]
+        hi = min(end[j - 1], lo + 2 * BLOCK)
+        part = data[lo:hi]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)])])
+        first = begin[i:j] - lo
+        out[i:j] = (sums[np.minimum(end[i:j], hi) - lo] - sums[first]) * inverse[first]
+        for at in range(hi, end[j - 1], BLOCK):
+            part = data[at : min(at + BLOCK, end[j - 1])]
+            rest = int(((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)]).sum())
+            out[j - 1] += np.uint64(rest * pow(BASE, int(at - begin[j - 1]), 1 << 64) % (1 << 64))
+    return mixed(out + (end - begin).astype(np.uint64))
