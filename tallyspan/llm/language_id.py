@@ -2,12 +2,12 @@
 
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled rows
 (`sample_rows` documents, `steps` batches of `batch` byte windows; all are parameters). Every language of the
-labelled rows is learned, however rare; the sample is shared equally among them. It labels every
-byte position; a document's probabilities are the mean over all its positions, so the whole text counts.
+labelled rows is learned, however rare; the sample is shared equally among them. It labels every byte position
+of the whole text, spaces, digits and signs too; a document's probabilities are the mean over all its positions.
 
-A window is a word or, in longer words, its consecutive parts of `WINDOW` bytes; the network starts anew
-at each window, so windows that recur in a batch are labelled once. Words without a letter (bytes other
-than ASCII letters and multi-byte characters) are left out.
+The state runs on over words. So that long texts go through in parallel lanes and bounded memory, a text is
+cut into windows of `CORE` positions that also read `CONTEXT` bytes of their neighbours on either side, which
+warm the states up; each position is labelled once, in the window that it belongs to.
 
 Edge cases: null texts and texts without any letter get `und` and score 0. Labels that are null are not
 learned; without any label every text is `und`. An empty table gives an empty result. Repeated rows get
@@ -26,11 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_of, shared_folder, slices, table, text_buffers, without, written
-from .words import hashes, spans
 
-WINDOW, HIDDEN, SAMPLE_ROWS, SAMPLE_CHARS = 16, 12, 2000, 3000
-LETTER = np.zeros(256, bool)
-LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+CORE, CONTEXT, LANES, HIDDEN = 240, 16, 2048, 8
+TRAIN_WINDOW, SAMPLE_ROWS, SAMPLE_CHARS = 48, 2000, 3000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -67,6 +65,38 @@ class Cell:
             states[:, t] = state = new
         return states, tape
 
+    def states(self, grid: np.ndarray, n: np.ndarray, back: bool) -> np.ndarray:
+        """States (length, hidden, lanes) at every position of a grid (length, lanes) of bytes; lane k has n[k] of them.
+
+        The forward pass without a tape, in place; sigmoids are taken as halved tanh of halved weights. Backwards a
+        lane starts at its own end.
+        """
+        h, lanes = self.hidden, grid.shape[1]
+        table_ = np.ascontiguousarray((self.w["x"] + self.w["b"]).T)
+        table_[: 2 * h] *= 0.5
+        u, c = np.ascontiguousarray(0.5 * self.w["u"].T), np.ascontiguousarray(self.w["c"].T)
+        x, gates, new = (np.empty((k * h, lanes), np.float32) for k in (3, 2, 1))
+        state, out = np.zeros((h, lanes), np.float32), np.empty((len(grid), h, lanes), np.float32)
+        shortest = int(n.min())
+        for t in range(len(grid) - 1, -1, -1) if back else range(len(grid)):
+            np.take(table_, grid[t], axis=1, out=x, mode="clip")
+            np.matmul(u, state, out=gates)
+            gates += x[: 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            gates[h:] *= state
+            np.matmul(c, gates[h:], out=new)
+            new += x[2 * h :]
+            np.tanh(new, out=new)
+            state -= new
+            state *= gates[:h]
+            state += new
+            if back and t >= shortest:
+                state[:, t >= n] = 0
+            out[t] = state
+        return out
+
     def backward(self, data: np.ndarray, tape: list, grads: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the weights by backpropagation through time."""
         h, out = self.hidden, {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -95,13 +125,16 @@ class Network:
         self.languages, self.cells = languages, [Cell(rng, hidden), Cell(rng, hidden)]
         self.out = {"w": rng.normal(0, 0.2, (2 * hidden, len(languages))).astype(np.float32), "b": np.zeros(len(languages), np.float32)}
 
-    def positions(self, data: np.ndarray) -> np.ndarray:
-        """Probabilities of each language at each position of windows of one length."""
-        ahead, back = self.cells[0].forward(data)[0], self.cells[1].forward(data[:, ::-1])[0][:, ::-1]
-        h = ahead.shape[2]
-        logits = ahead @ self.out["w"][:h] + back @ self.out["w"][h:] + self.out["b"]
-        logits = np.exp(logits - logits.max(2, keepdims=True))
-        return logits / logits.sum(2, keepdims=True)
+    def positions(self, grid: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probabilities (length, languages, lanes) at every position of a grid (length, lanes) of bytes."""
+        h = self.cells[0].hidden
+        out = np.matmul(self.out["w"][:h].T, self.cells[0].states(grid, n, False))
+        out += np.matmul(self.out["w"][h:].T, self.cells[1].states(grid, n, True))
+        out += self.out["b"][:, None]
+        out -= out.max(1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(1, keepdims=True)
+        return out
 
     def _step(self, data: np.ndarray, n: np.ndarray, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(weights, gradient) pairs for one batch of padded windows."""
@@ -141,35 +174,31 @@ class Network:
                 weights -= rate * min(1, 2 - 2 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and row of every window of the rows that has a letter."""
-    begin, end, row = spans(data, offsets)
-    parts = -(-(end - begin) // WINDOW)
-    which = np.repeat(np.arange(len(begin)), parts)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = begin[which] + k * WINDOW
-    last, row = np.minimum(first + WINDOW, end[which]), row[which]
-    letters = np.concatenate([[0], np.cumsum(LETTER[data])])
-    some = letters[last] > letters[first]
-    return first[some], last[some], row[some]
+def windows(offsets: np.ndarray, core: int = CORE, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """Begin and end of every window's own positions, begin and end of the window, and its row; n + 1 offsets of rows."""
+    size = np.diff(offsets)
+    parts = -(-size // core)
+    row = np.repeat(np.arange(len(size)), parts)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = offsets[row] + k * core
+    end = np.minimum(begin + core, offsets[row + 1])
+    return begin, end, np.maximum(begin - context, offsets[row]), np.minimum(end + context, offsets[row + 1]), row
 
 
-def document_sums(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of position probabilities, and the number of positions, of each row."""
-    begin, end, row = windows(data, offsets)
+def document_sums(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the position probabilities of each row; every position counts once, in the window it belongs to."""
+    begin, end, first, last, row = windows(offsets)
     rows, classes = len(offsets) - 1, len(net.languages)
-    if not len(begin) or not classes:
-        return np.zeros((rows, classes)), np.zeros(rows)
-    _, first, back = np.unique(hashes(data, begin, end), return_index=True, return_inverse=True)
-    at, n = begin[first], (end - begin)[first]
-    pooled = np.zeros((len(first), classes), np.float32)
-    for length in np.unique(n):
-        own = np.flatnonzero(n == length)
-        for k in range(0, len(own), 20_000):
-            part = own[k : k + 20_000]
-            pooled[part] = net.positions(data[at[part][:, None] + np.arange(length)]).sum(1)
-    sums = np.stack([np.bincount(row, pooled[back, c], rows) for c in range(classes)], 1)
-    return sums, np.bincount(row, end - begin, rows)
+    pooled = np.zeros((len(begin), classes))
+    order = np.argsort(last - first, kind="stable")
+    for k in range(0, len(order) if classes else 0, LANES):
+        part = order[k : k + LANES]
+        n = (last - first)[part]
+        at = first[part] + np.arange(n.max())[:, None]
+        p = net.positions(data[np.minimum(at, len(data) - 1)].astype(np.intp), n)
+        p *= ((at >= begin[part]) & (at < end[part]))[:, None, :]
+        pooled[part] = p.sum(0).T
+    return np.stack([np.bincount(row, pooled[:, c], rows) for c in range(classes)], 1) if classes else np.zeros((rows, 0))
 
 
 def spread(text: Column, chars: int, pieces: int = 10) -> Column:
@@ -195,18 +224,21 @@ def training_rows(docs: DataFrame, rows: int, chars: int, least: int = 20) -> tu
     return languages, chosen.select("lang", "h", spread(F.col("text"), chars).alias("text")).dropDuplicates(["lang", "h"])
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, steps: int = 400, batch: int = 512) -> Network:
-    """Train on about sample_rows of the rows of docs (doc_id, text, lang) with a language, sample_chars characters of each."""
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, steps: int = 300, batch: int = 256) -> Network:
+    """Train on about sample_rows of the rows of docs (doc_id, text, lang) with a language, sample_chars characters of each.
+
+    A batch holds windows of TRAIN_WINDOW consecutive bytes, wherever they begin and end, so the network learns to
+    carry its state over the bounds of words.
+    """
     languages, chosen = training_rows(docs, sample_rows, sample_chars)
     net = Network(languages)
     if languages:
         sample = chosen.orderBy("h", "lang").toArrow()
         data, offsets = text_buffers(sample.column("text").combine_chunks())
-        begin, end, row = windows(data, offsets)
+        begin, end, _, _, row = windows(offsets, TRAIN_WINDOW, 0)
         label = np.searchsorted(languages, np.array(sample.column("lang").to_pylist()))[row]
         n = end - begin
-        grid = data[np.minimum(begin[:, None] + np.arange(WINDOW), len(data) - 1)]
-        grid[np.arange(WINDOW)[None, :] >= n[:, None]] = 32
+        grid = data[np.minimum(begin[:, None] + np.arange(TRAIN_WINDOW), len(data) - 1)]
         net.train(grid, n, label, steps, batch)
     return net
 
@@ -217,13 +249,13 @@ def predict(docs: DataFrame, net: Network, *carried: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(["und", *net.languages], object)
         for batch in batches:
-            for part in slices(batch, "text"):
-                sums, n = document_sums(net, *text_buffers(part.column("text")))
-                share = sums / np.maximum(n, 1)[:, None]
-                some = part.column("letter").to_numpy(zero_copy_only=False) & (n > 0)
-                best = share.argmax(1) if len(net.languages) else np.zeros(len(n), int)
-                score = np.where(some, np.clip(share.max(1), 0, 1), 0.0) if len(net.languages) else np.zeros(len(n))
-                pred = names[np.where(some & bool(len(net.languages)), best + 1, 0)]
+            for part in slices(batch, "text", 1_000_000):
+                data, offsets = text_buffers(part.column("text"))
+                share = document_sums(net, data, offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+                some = part.column("letter").to_numpy(zero_copy_only=False) & bool(net.languages)
+                best = share.argmax(1) if net.languages else 0
+                score = np.where(some, np.clip(share.max(1, initial=0), 0, 1), 0.0)
+                pred = names[np.where(some, best + 1, 0)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *map(part.column, carried)], names=["doc_id", "lang_pred", "score", *carried])
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *carried)}
@@ -232,13 +264,15 @@ def predict(docs: DataFrame, net: Network, *carried: str) -> DataFrame:
     return docs.select("doc_id", "text", letter.alias("letter"), *carried).mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double{more}")
 
 
-def keep_languages(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without the rows that have no letter or whose best language has a score under `least`.
+def keep_languages(docs: DataFrame, margin: float = 0.05) -> DataFrame:
+    """docs without the rows that have no letter or whose best language hardly beats chance.
 
-    Decided by row: other texts under the doc_id of a rejected row, or also without one, stay.
+    With k languages, chance is 1 / k; a row needs a score of 1 / k + margin * (1 - 1 / k). Decided by row: other
+    texts under the doc_id of a rejected row, or also without one, stay.
     """
     net = fit(docs.filter(fold_of(F.col("doc_id"), 4) != 2))
-    digest = F.sha2("text", 256)
+    digest, chance = F.sha2("text", 256), 1 / max(len(net.languages), 1)
+    least = chance + margin * (1 - chance) if len(net.languages) > 1 else 0.0
     rows = predict(docs.select("doc_id", "text", digest.alias("digest")), net, "digest")
     gone = rows.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id", "digest").distinct()
     return without(docs, written(gone, shared_folder(docs.sparkSession), "rejected"), {"doc_id": docs["doc_id"], "digest": digest})
@@ -248,4 +282,5 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
-    return predict(docs, fit(docs.filter(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    out = predict(docs, fit(docs.filter(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return written(out, shared_folder(spark), "languages")

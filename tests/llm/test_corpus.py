@@ -310,8 +310,8 @@ def test_gru_gradient():
     def loss():
         total = 0.0
         for r in range(4):
-            p = net.positions(data[r : r + 1, : n[r]])
-            total -= np.log(p[0, :, label[r]]).sum()
+            p = net.positions(data[r : r + 1, : n[r]].T, n[r : r + 1])
+            total -= np.log(p[:, label[r], 0]).sum()
         return total / n.sum()
 
     weights, g = next((w, g) for w, g in net._step(data, n, label) if w is net.cells[1].w["u"])
