@@ -21,7 +21,8 @@ def norm_ts(x: Column, kind: str) -> Column:
         return x.cast("timestamp")
     if kind in ("int", "bigint", "double", "float"):
         return F.when(x > 1e12, F.timestamp_millis(x.cast("bigint"))).otherwise(F.timestamp_seconds(x))
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(layout)) for layout in LAYOUTS])
+    text = F.regexp_replace(x, "(?<=[0-9])Z$", "")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)) for layout in LAYOUTS])
 
 
 def trimmed(x: Column) -> Column:
@@ -79,6 +80,11 @@ def in_window(df: DataFrame, column: str, start: str | None = None, end: str | N
     return df
 
 
+def of_method(df: DataFrame, method: str, column: str = "method", t: str = "t") -> DataFrame:
+    """Rows of one method that have a time."""
+    return df.filter((F.col(column) == method) & F.col(t).isNotNull())
+
+
 def month_of(t: Column) -> Column:
     return F.trunc(F.to_date(t), "month")
 

@@ -7,17 +7,136 @@ from pyspark.sql import functions as F
 
 #: The codes of each class.
 CLASS_CODES = {
-    "Gram positive bacteria": "bacillus corynebacterium enterococcus gram_positive_cocci gram_positive_rod lactobacillus leuconostoc listeria micrococcus nocardia rhodococcus staphylococcus_coag_neg staphylococcus_coag_pos staphylococcus_nos stomatococcus_mucilaginosis streptococcus",
-    "Gram negative bacteria": "acinetobacter agrobacterium_radiobacter alcaligenes_xylosoxidans branhamelia_moraxella_catarrhalis campylobacter citrobacter enterobacter escherichia flavimonas_oryzihabitans flavobacterium gram_negative_diplococci gram_negative_rod haemophilus helicobacter_pylori klebsiella legionella methylobacterium neisseria pseudomonas_burkholderia_cepacia pseudomonas_stenotrophomonas_xanthomonas_maltophilia pseudomonas_wo_cepacia_maltophilia salmonella serratia_marcescens shigella vibrio",
-    "Anaerobes": "anaerobes_wo_bacteroides_clostridium bacteroides clostridium_difficile clostridium_wo_difficile fusobacterium_nucleatum leptotrichia_buccalis propionbacterium",
-    "Fungi/yeast": "aspergillus_nos aspergillus_flavus aspergillus_fumigatus aspergillus_niger candida_albicans candida_krusei candida_nos candida_parapsilosis candida_tropicalis cryptococcus fungus_other fusarium mucormycosis_zygomycetes_rhizopus pneumocystis torulopsis_galbrata yeast",
-    "Mycobacteria/AFB": "mycobacteria_avium_bovium_haemophilum_intercelluare mycobacterium_other tuberculosis tuberculosis_nos_afb_kochbacillus",
-    "Parasite/protozoa": "amebiasis cryptosporidium echinoco_ocalcyst giardia protozoal_other toxoplasma trichomonas",
-    "Virus": "adenovirus cytomegalovirus enterovirus epstein_barr_virus hepatitis_a hepatitis_b hepatitis_c herpes_simplex herpes_zoster hhv_6 hiv_htlv influenza measles mumps papovavirus parainfluenza polyomavirus respiratory_syncytial_virus rhinovirus rotavirus rubella viral_other",
-    "Atypical/other bacteria": "borrelia chlamydia coxiella leptospira mycoplasma rickettsia treponema",
-    "Other bacteria": "bacteria_other pharyngeal_respiratory_flora",
-    "No growth/negative": "no_growth",
-    "Other/unspecified": "other_organism",
+    "Gram positive bacteria": [
+        "bacillus",
+        "corynebacterium",
+        "enterococcus",
+        "gram_positive_cocci",
+        "gram_positive_rod",
+        "lactobacillus",
+        "leuconostoc",
+        "listeria",
+        "micrococcus",
+        "nocardia",
+        "rhodococcus",
+        "staphylococcus_coag_neg",
+        "staphylococcus_coag_pos",
+        "staphylococcus_nos",
+        "stomatococcus_mucilaginosis",
+        "streptococcus",
+    ],
+    "Gram negative bacteria": [
+        "acinetobacter",
+        "agrobacterium_radiobacter",
+        "alcaligenes_xylosoxidans",
+        "branhamelia_moraxella_catarrhalis",
+        "campylobacter",
+        "citrobacter",
+        "enterobacter",
+        "escherichia",
+        "flavimonas_oryzihabitans",
+        "flavobacterium",
+        "gram_negative_diplococci",
+        "gram_negative_rod",
+        "haemophilus",
+        "helicobacter_pylori",
+        "klebsiella",
+        "legionella",
+        "methylobacterium",
+        "neisseria",
+        "pseudomonas_burkholderia_cepacia",
+        "pseudomonas_stenotrophomonas_xanthomonas_maltophilia",
+        "pseudomonas_wo_cepacia_maltophilia",
+        "salmonella",
+        "serratia_marcescens",
+        "shigella",
+        "vibrio",
+    ],
+    "Anaerobes": [
+        "anaerobes_wo_bacteroides_clostridium",
+        "bacteroides",
+        "clostridium_difficile",
+        "clostridium_wo_difficile",
+        "fusobacterium_nucleatum",
+        "leptotrichia_buccalis",
+        "propionbacterium",
+    ],
+    "Fungi/yeast": [
+        "aspergillus_nos",
+        "aspergillus_flavus",
+        "aspergillus_fumigatus",
+        "aspergillus_niger",
+        "candida_albicans",
+        "candida_krusei",
+        "candida_nos",
+        "candida_parapsilosis",
+        "candida_tropicalis",
+        "cryptococcus",
+        "fungus_other",
+        "fusarium",
+        "mucormycosis_zygomycetes_rhizopus",
+        "pneumocystis",
+        "torulopsis_galbrata",
+        "yeast",
+    ],
+    "Mycobacteria/AFB": [
+        "mycobacteria_avium_bovium_haemophilum_intercelluare",
+        "mycobacterium_other",
+        "tuberculosis",
+        "tuberculosis_nos_afb_kochbacillus",
+    ],
+    "Parasite/protozoa": [
+        "amebiasis",
+        "cryptosporidium",
+        "echinoco_ocalcyst",
+        "giardia",
+        "protozoal_other",
+        "toxoplasma",
+        "trichomonas",
+    ],
+    "Virus": [
+        "adenovirus",
+        "cytomegalovirus",
+        "enterovirus",
+        "epstein_barr_virus",
+        "hepatitis_a",
+        "hepatitis_b",
+        "hepatitis_c",
+        "herpes_simplex",
+        "herpes_zoster",
+        "hhv_6",
+        "hiv_htlv",
+        "influenza",
+        "measles",
+        "mumps",
+        "papovavirus",
+        "parainfluenza",
+        "polyomavirus",
+        "respiratory_syncytial_virus",
+        "rhinovirus",
+        "rotavirus",
+        "rubella",
+        "viral_other",
+    ],
+    "Atypical/other bacteria": [
+        "borrelia",
+        "chlamydia",
+        "coxiella",
+        "leptospira",
+        "mycoplasma",
+        "rickettsia",
+        "treponema",
+    ],
+    "Other bacteria": [
+        "bacteria_other",
+        "pharyngeal_respiratory_flora",
+    ],
+    "No growth/negative": [
+        "no_growth",
+    ],
+    "Other/unspecified": [
+        "other_organism",
+    ],
 }
 #: Patterns of each class; the first that matches wins.
 _ANAEROBES = "anaerob|bacteroides|clostrid|prevotella|fusobacter|cutibacter|propionibacter|propionbacterium|leptotrichia"
@@ -78,7 +197,7 @@ def classify(code: Column, ruleset: str = "exact_then_regex", rules: list[tuple[
         return found
     exact = F.lit(None).cast("string")
     for label, codes in CLASS_CODES.items():
-        exact = F.when(clean.isin(codes.split()), label).otherwise(exact)
+        exact = F.when(clean.isin(codes), label).otherwise(exact)
     return F.coalesce(exact, found)
 
 

@@ -76,3 +76,17 @@ def trailing_mean(x: str, group: list[str], order: str, k: int = 6) -> Column:
     """Mean of the last k rows; null until there are k, and where one of them is null."""
     frame = Window.partitionBy(*group).orderBy(order).rowsBetween(1 - k, 0)
     return F.when(F.count(x).over(frame) == k, F.avg(x).over(frame))
+
+
+def with_level(df: DataFrame, label: str, n: str, last: str = "Other") -> DataFrame:
+    """level: the place of each label for display, by its total of n from large to small, with `last` at the end."""
+    totals = df.groupBy(label).agg(F.sum(n).alias("_n"))
+    order = Window.orderBy(F.coalesce(F.col(label) == last, F.lit(False)), F.desc("_n"), F.asc_nulls_last(label))
+    # One row a label; the display levels of a report.
+    levels_ = totals.select(F.col(label).alias("_label"), F.row_number().over(order).alias("level"))
+    return df.join(F.broadcast(levels_), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+
+
+def unmapped(df: DataFrame, label: str, known: list[str]) -> DataFrame:
+    """The labels of df that a mapping does not name, each once."""
+    return df.select(label).distinct().join(F.broadcast(levels(df, label, known)), label, "left_anti")

@@ -48,5 +48,6 @@ def trend_screen(monthly: DataFrame, label: str, n: str, exposure: str) -> DataF
     seen = F.when(F.col(n) > 0, F.col("month"))
     facts = monthly.withColumn("rate", rate).groupBy(label).agg(F.sum(n).alias("total"), F.min(seen).alias("first_month"), F.max(seen).alias("last_month"), F.avg("rate").alias("mean_rate"), F.max("rate").alias("max_rate"))
     out = facts.join(poisson_trend(monthly, label, n, exposure), label, "left")
-    up, sure = F.col("annual_percent_change") > 0, F.col("p_value") < 0.05
-    return out.withColumn("direction", F.when(F.col("annual_percent_change").isNull(), "not fitted").when(sure & up, "increasing").when(sure & ~up, "decreasing").otherwise("no clear trend"))
+    change, sure = F.col("annual_percent_change"), F.col("p_value") < 0.05
+    direction = F.when(F.col("total") == 0, "Not observed").when(change.isNull() | F.col("p_value").isNull(), "Not estimated")
+    return out.withColumn("direction", direction.when(sure & (change > 0), "Increasing").when(sure & (change < 0), "Decreasing").otherwise("No clear trend"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import any_true, composite_id, hours_between, month_of, negative_name, norm_text, positive_flag, stay_day
+from ..functions.normalize import any_true, composite_id, hours_between, month_of, negative_name, norm_text, of_method, positive_flag, stay_day
 from ..operators.intervals import attach_points, fill_open_end, merge_intervals
+from ..sources.store import stored
 
 EVENT_KEY = ["subject", "encounter", "seq", "t_in", "t_out", "t", "type", "name", "method"]
 STUDY = ("1995-03-01", "1997-10-31")
@@ -16,11 +17,22 @@ STUDY = ("1995-03-01", "1997-10-31")
 
 @dataclass
 class Frames:
-    """Lazy frames of one binding; each property is a plan, nothing runs until a query does."""
+    """Lazy frames of one binding; each property is a plan. Queries that need one more than once take it from `once`."""
 
     encounters: DataFrame
     stays: DataFrame
     points: DataFrame
+    held: dict[str, DataFrame] = field(default_factory=dict)
+
+    def once(self, name: str) -> DataFrame:
+        """The frame of that name, computed once for this query and read from the shared folder from then on."""
+        if name not in self.held:
+            self.held[name] = stored(getattr(self, name))
+        return self.held[name]
+
+    def frame(self, name: str) -> DataFrame:
+        """The stored frame if this query has one, else its plan."""
+        return self.held[name] if name in self.held else getattr(self, name)
 
     @property
     def episodes(self) -> DataFrame:
@@ -28,7 +40,7 @@ class Frames:
 
     @property
     def attached(self) -> DataFrame:
-        return attach_points(self.points, self.episodes.select("subject", "encounter", "seq", "t_in", "t_out"))
+        return attach_points(self.points, self.frame("episodes").select("subject", "encounter", "seq", "t_in", "t_out"))
 
     @property
     def attached_stays(self) -> DataFrame:
@@ -38,14 +50,15 @@ class Frames:
     def events(self) -> DataFrame:
         """Point rows collapsed on the full key, with month, hours since admission and stay day."""
         groups = F.array_join(F.array_sort(F.collect_set("organism_group")), "; ")
-        rows = self.attached.groupBy(*EVENT_KEY).agg(F.count(F.lit(1)).alias("n_rows"), any_true(F.col("positive")).alias("any_positive"), groups.alias("organism_groups"))
+        rows = self.frame("attached").groupBy(*EVENT_KEY).agg(F.count(F.lit(1)).alias("n_rows"), any_true(F.col("positive")).alias("any_positive"), groups.alias("organism_groups"))
         hours = hours_between(F.col("t_in"), F.col("t"))
         return rows.withColumns({"month": month_of(F.col("t")), "hours": hours, "day": stay_day(hours)})
 
     @property
     def detections(self) -> DataFrame:
         """Positive attached rows without explicit negatives, with their event id."""
-        rows = self.attached.filter(F.col("positive") & ~negative_name(F.col("organism_name")))
+        rows = self.frame("attached").filter(F.col("positive") & ~negative_name(F.col("organism_name")))
+        rows = rows.drop("t_out", "method", "drug", "sir")
         return rows.withColumns({"event_id": composite_id(*[F.col(c) for c in ("encounter", "seq", "t", "type", "name")]), "month": month_of(F.col("t")), "hours": hours_between(F.col("t_in"), F.col("t"))})
 
 
@@ -54,11 +67,12 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def monthly_binding(spark: SparkSession, d: str) -> Frames:
-    """Customers as encounters, returned lines as stays, all lines as point rows; spans months."""
+    """Customers as encounters, groups of them as subjects, returned lines as stays, all lines as point rows; spans months."""
     orders, lines = _read(spark, d, "orders"), _read(spark, d, "lineitem")
     key = F.col("o_custkey").cast("string")
+    subject = (F.col("encounter").cast("bigint") % 500).cast("string")
     encounters = orders.groupBy(key.alias("encounter")).agg(F.min("o_orderdate").alias("admit"), (F.max("o_orderdate") + F.expr("interval 30 days")).alias("discharge"))
-    encounters = encounters.withColumn("subject", F.col("encounter"))
+    encounters = encounters.withColumn("subject", subject)
     own = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).withColumn("encounter", key)
     out = F.when((F.col("l_linenumber") == 1) & (F.col("l_linestatus") == "O"), None).otherwise(F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int")))
     stays = own.filter(F.col("l_returnflag") == "R").select("encounter", F.col("l_shipdate").alias("t_in"), out.alias("t_out"))
@@ -67,15 +81,15 @@ def monthly_binding(spark: SparkSession, d: str) -> Frames:
     kind = norm_text(F.col("p_type"))
     group = F.when(F.col("p_type") == "ECONOMY", "no_growth").otherwise(kind)
     points = own.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("encounter").alias("subject"), "encounter", F.col("o_orderdate").alias("t"), norm_text(F.col("o_orderpriority")).alias("type"), norm_text(F.col("o_orderstatus")).alias("name"), F.lit("culture").alias("method"),
+        subject.alias("subject"), "encounter", F.col("o_orderdate").alias("t"), norm_text(F.col("o_orderpriority")).alias("type"), norm_text(F.col("o_orderstatus")).alias("name"), F.when(F.col("o_orderstatus") == "P", "stain").otherwise("culture").alias("method"),
         F.col("l_partkey").cast("string").alias("organism_id"), norm_text(F.col("p_name")).alias("organism_name"), kind.alias("organism_category"), group.alias("organism_group"), norm_text(F.col("p_brand")).alias("drug"), F.col("l_returnflag").alias("sir"), positive_flag(group, kind).alias("positive"),
     )
-    return Frames(encounters, stays, points)
+    return Frames(encounters, stays, of_method(points, "culture"))
 
 
 def hourly_binding(spark: SparkSession, d: str) -> Frames:
-    """Users as encounters, signups as stays of value quarter-hours, all other events as points; spans hours."""
-    events = _read(spark, d, "events").withColumn("encounter", F.col("user_id").cast("string")).withColumn("subject", F.col("encounter"))
+    """Users as encounters, groups of them as subjects, signups as stays of value quarter-hours, all other events as points; spans hours."""
+    events = _read(spark, d, "events").withColumn("encounter", F.col("user_id").cast("string")).withColumn("subject", (F.col("user_id") % 200).cast("string"))
     end = F.timestamp_add("MICROSECOND", F.round(F.col("value") * 9e8).cast("bigint"), F.col("ts"))
     stays = events.filter("event_type = 'signup'").select("subject", "encounter", F.col("ts").alias("t_in"), end.alias("t_out"), F.lit(None).cast("timestamp_ntz").alias("discharge"), F.lit(None).cast("timestamp_ntz").alias("admit"))
     organism = (F.regexp_extract("props", r"([0-9]+)", 1).try_cast("bigint") % 12).cast("string")
@@ -87,25 +101,25 @@ def hourly_binding(spark: SparkSession, d: str) -> Frames:
 _EPISODES = """
 flag AS (SELECT *, CASE WHEN t_in <= max(t_out) OVER (PARTITION BY encounter ORDER BY t_in, t_out ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM stays),
 num AS (SELECT *, sum(fresh) OVER (PARTITION BY encounter ORDER BY t_in, t_out ROWS UNBOUNDED PRECEDING) AS seq FROM flag),
-episodes AS (SELECT encounter, CAST(seq AS BIGINT) AS seq, min(t_in) AS t_in, max(t_out) AS t_out, bool_or(open_end) AS any_open_end, count(*) AS n_intervals, date_trunc('month', min(t_in)) AS month FROM num GROUP BY encounter, seq),
+episodes AS (SELECT any_value(subject) AS subject, encounter, CAST(seq AS BIGINT) AS seq, min(t_in) AS t_in, max(t_out) AS t_out, bool_or(open_end) AS any_open_end, count(*) AS n_intervals, date_trunc('month', min(t_in)) AS month FROM num GROUP BY encounter, seq),
 attached AS (SELECT p.*, e.seq, e.t_in, e.t_out FROM points p JOIN episodes e ON p.encounter = e.encounter AND p.t BETWEEN e.t_in AND e.t_out),
 events_ AS (SELECT *, CAST(floor(hours / 24) AS BIGINT) + 1 AS day FROM (
-  SELECT encounter, seq, t_in, t_out, t, type, name, count(*) AS n_rows, bool_or(positive) AS any_positive, string_agg(DISTINCT organism_group, '; ' ORDER BY organism_group) AS organism_groups,
+  SELECT any_value(subject) AS subject, encounter, seq, t_in, t_out, t, type, name, count(*) AS n_rows, bool_or(positive) AS any_positive, string_agg(DISTINCT organism_group, '; ' ORDER BY organism_group) AS organism_groups,
   date_trunc('month', t) AS month, date_diff('microsecond', t_in, t) / 3.6e9 AS hours FROM attached GROUP BY encounter, seq, t_in, t_out, t, type, name)),
 detections AS (SELECT *, encounter || '|' || seq || '|' || t || '|' || type || '|' || name AS event_id, date_trunc('month', t) AS month, date_diff('microsecond', t_in, t) / 3.6e9 AS hours
   FROM attached WHERE positive AND NOT regexp_matches(lower(coalesce(organism_name, '')), '^(no|none|not) .*isolated|no growth|no .* detected|negative for')),
 """
 MONTHLY_SQL = (
-    """WITH enc AS (SELECT CAST(o_custkey AS VARCHAR) AS encounter, min(o_orderdate) AS admit, max(o_orderdate) + INTERVAL 30 DAY AS discharge FROM orders GROUP BY 1),
-li AS (SELECT CAST(o_custkey AS VARCHAR) AS encounter, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    """WITH enc AS (SELECT CAST(o_custkey % 500 AS VARCHAR) AS subject, CAST(o_custkey AS VARCHAR) AS encounter, min(o_orderdate) AS admit, max(o_orderdate) + INTERVAL 30 DAY AS discharge FROM orders GROUP BY 1, 2),
+li AS (SELECT CAST(o_custkey % 500 AS VARCHAR) AS subject, CAST(o_custkey AS VARCHAR) AS encounter, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 raw AS (SELECT encounter, l_shipdate AS t_in, CASE WHEN l_linenumber = 1 AND l_linestatus = 'O' THEN NULL ELSE l_shipdate + CAST(l_quantity AS INTEGER) * INTERVAL 1 DAY END AS t_out FROM li WHERE l_returnflag = 'R'),
-stays AS (SELECT encounter, t_in, coalesce(t_out, discharge) AS t_out, t_out IS NULL AS open_end FROM raw JOIN enc USING (encounter) WHERE coalesce(t_out, discharge) > t_in),
-points AS (SELECT encounter, o_orderdate AS t, lower(trim(o_orderpriority)) AS type, lower(trim(o_orderstatus)) AS name, CAST(l_partkey AS VARCHAR) AS organism_id, lower(trim(p_name)) AS organism_name, lower(trim(p_type)) AS organism_category,
-  CASE WHEN p_type = 'ECONOMY' THEN 'no_growth' ELSE lower(trim(p_type)) END AS organism_group, lower(p_brand) AS drug, l_returnflag AS sir, p_type <> 'ECONOMY' AS positive FROM li JOIN part ON l_partkey = p_partkey),"""
+stays AS (SELECT subject, encounter, t_in, coalesce(t_out, discharge) AS t_out, t_out IS NULL AS open_end FROM raw JOIN enc USING (encounter) WHERE coalesce(t_out, discharge) > t_in),
+points AS (SELECT subject, encounter, o_orderdate AS t, lower(trim(o_orderpriority)) AS type, lower(trim(o_orderstatus)) AS name, CAST(l_partkey AS VARCHAR) AS organism_id, lower(trim(p_name)) AS organism_name, lower(trim(p_type)) AS organism_category,
+  CASE WHEN p_type = 'ECONOMY' THEN 'no_growth' ELSE lower(trim(p_type)) END AS organism_group, lower(p_brand) AS drug, l_returnflag AS sir, p_type <> 'ECONOMY' AS positive FROM li JOIN part ON l_partkey = p_partkey WHERE o_orderstatus <> 'P'),"""
     + _EPISODES
 )
 HOURLY_SQL = (
-    """WITH stays AS (SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS encounter, ts AS t_in, ts + to_microseconds(CAST(round(value * 9e8) AS BIGINT)) AS t_out, FALSE AS open_end FROM events WHERE event_type = 'signup') WHERE t_out > t_in),
-points AS (SELECT CAST(user_id AS VARCHAR) AS encounter, ts AS t, event_type AS type, event_type AS name, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_name, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_category, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_group, value > 50 AS positive FROM events WHERE event_type <> 'signup'),"""
+    """WITH stays AS (SELECT * FROM (SELECT CAST(user_id % 200 AS VARCHAR) AS subject, CAST(user_id AS VARCHAR) AS encounter, ts AS t_in, ts + to_microseconds(CAST(round(value * 9e8) AS BIGINT)) AS t_out, FALSE AS open_end FROM events WHERE event_type = 'signup') WHERE t_out > t_in),
+points AS (SELECT CAST(user_id % 200 AS VARCHAR) AS subject, CAST(user_id AS VARCHAR) AS encounter, ts AS t, event_type AS type, event_type AS name, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_name, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_category, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_group, value > 50 AS positive FROM events WHERE event_type <> 'signup'),"""
     + _EPISODES
 )

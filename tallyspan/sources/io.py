@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,11 @@ def locate(spark: SparkSession, root: str, name: str, kind: str, prefix: str = "
     return found[0]
 
 
-def read_table(spark: SparkSession, root: str, name: str, kind: str = "parquet", prefix: str = "", schema: T.StructType | None = None) -> DataFrame:
-    """A located Parquet or CSV table with snake-case names. CSV is read as text, blanks and `NA` as null."""
+def read_table(spark: SparkSession, root: str, name: str, kind: str = "parquet", prefix: str = "", schema: T.StructType | None = None, infer: bool = True) -> DataFrame:
+    """A located Parquet or CSV table with snake-case names. CSV columns are typed by a schema or by their values; blanks and `NA` are null."""
     path = locate(spark, root, name, kind, prefix)
     if kind == "csv":
-        reader = spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", None)
+        reader = spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", None).option("inferSchema", infer)
         return snake_case(reader.schema(schema).csv(path) if schema else reader.csv(path))
     return snake_case(spark.read.parquet(path))
 
@@ -58,13 +59,16 @@ def conform(df: DataFrame, schema: T.StructType, aliases: dict[str, list[str]] |
         found = next((c for c in [f.name, *(aliases or {}).get(f.name, [])] if c in df.columns), None)
         if found is None and f.name in required:
             raise ValueError(f"column {f.name} is missing")
+        if found is None and aliases and f.name in aliases:
+            warnings.warn(f"no column for {f.name}: nulls", stacklevel=2)
         out.append((F.col(found).try_cast(f.dataType) if found else F.lit(None).cast(f.dataType)).alias(f.name))
     return df.select(*out)
 
 
-def write_aggregate(df: DataFrame, path: str, site: str, run: str, kind: str = "parquet") -> None:
-    """Append an aggregate under site_name and run_ts."""
-    df.withColumns({"site_name": F.lit(site), "run_ts": F.lit(run)}).write.mode("append").partitionBy("site_name", "run_ts").format(kind).save(path)
+def write_aggregate(df: DataFrame, path: str, site: str, run: str, kind: str = "parquet", setting: str = "ICU") -> None:
+    """Append an aggregate, stamped with its care setting, under site_name and run_ts."""
+    stamped = df.withColumns({"care_setting": F.lit(setting), "site_name": F.lit(site), "run_ts": F.lit(run)})
+    stamped.write.mode("append").option("header", True).partitionBy("site_name", "run_ts").format(kind).save(path)
 
 
 def write_private(df: DataFrame, path: str, run: str, enabled: bool = True) -> None:
@@ -79,12 +83,20 @@ def latest_run(df: DataFrame) -> DataFrame:
     return df.filter(F.col("run_ts") == newest)
 
 
-def export_manifest(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
-    """dataset, rows, n_columns, columns (joined by `; `) for each Parquet dataset."""
+def folder_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def export_manifest(spark: SparkSession, root: str, datasets: dict[str, str], site: str, setting: str = "ICU") -> DataFrame:
+    """For each dataset (path under root: csv or parquet): site_name, care_setting, dataset, size_bytes, rows, n_columns, columns (joined by `; `), created_at."""
     out = None
-    for name, path in sorted(datasets.items()):
-        df = spark.read.parquet(path)
-        row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows", F.lit(len(df.columns)).alias("n_columns"), F.lit("; ".join(df.columns)).alias("columns"))
+    for path, kind in sorted(datasets.items()):
+        full = f"{root}/{path}"
+        df = spark.read.option("header", True).csv(full) if kind == "csv" else spark.read.parquet(full)
+        facts = {"site_name": site, "care_setting": setting, "dataset": path, "size_bytes": folder_size(spark, full), "n_columns": len(df.columns), "columns": "; ".join(df.columns)}
+        row = df.agg(F.count(F.lit(1)).alias("rows")).withColumns({k: F.lit(v) for k, v in facts.items()}).withColumn("created_at", F.current_timestamp())
         out = row if out is None else out.unionByName(row)
     return out
 
