@@ -16,4 +16,4 @@ QUERIES = {
     "op9_embedding_join": embedding_join.op9_embedding_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_url_filter": url_filter.OP10_SQL}

@@ -4,12 +4,13 @@ Rules are (host, path) prefixes for a host and all its subdomains; the longest w
 judges are judged by the reputation of their host: outcomes of labelled pages are counted by host, and a
 beta-binomial prior shrinks each host towards its registered domain, that towards its suffix, and that
 towards all labelled pages. The strength of each level's prior comes from the spread of the level's rates
-(method of moments). A page is blocked where the lower bound of its host's posterior block rate lies
-above `most_bad`, so a host needs evidence, of its own or of its domain, to be blocked.
+(method of moments). The posterior of a host's block rate is a beta distribution; a page is blocked where that
+rate lies above `most_bad` with a probability of `sure` or more, that is, where the posterior's lower quantile at
+1 - sure lies above most_bad. So a host needs evidence, of its own or of its domain, to be blocked.
 
-Labelled outcomes are the pages of hosts that some rule names: bad where the rules block the page, good
-where they allow it or leave it alone. So a host is blocked as a whole where nearly all that the rules saw
-of it is blocked. Any frame of page_id and bad may be given in their place.
+Labelled outcomes may be any frame of page_id and bad. Where none is given, a page whose host or path has a word of
+`BAD_WORDS` counts as bad and every other as good; the rules have no part in it. A clean host with one such path
+stays, and a page without such a word goes with its host.
 
 Edge cases: a null url or one without `://` has empty host and path, no rule, and is judged by the global
 rate. An empty table gives an empty result. Repeated pages count as often as they occur. Extra columns
@@ -18,6 +19,10 @@ pass through `judge` unless they carry the name of a result.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,10 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block",
 #: Second-level suffixes under which names are registered.
 SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr", "com.ar", "co.kr"]
 
+#: Words of a host or path that mark a page as bad where no labels are given.
+BAD_WORDS = ["adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "loans", "lottery", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "viagra", "warez", "xxx"]
+MOST_BAD, SURE = 0.8, 0.95
+
 
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://`."""
@@ -71,8 +80,40 @@ def strength(counts: DataFrame, least: float = 1.0, most: float = 1000.0) -> flo
     return float(min(most, max(least, within / between - 1))) if between > 0 else most if within > 0 else least
 
 
-def reputation(hosts: DataFrame, folder: str, z: float = 1.645) -> DataFrame:
-    """hosts (host, domain, suffix, n, bad; one row a host) with rate and the lower bound of each host's posterior."""
+def beta_cdf(x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """P(rate <= x) under Beta(a, b), by the continued fraction of the incomplete beta function."""
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    tiny = 1e-300
+    c, d = np.ones_like(p), 1 / np.maximum(1 - (p + q) * y / (p + 1), tiny)
+    out = d.copy()
+    for m in range(1, 2000):
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        step = np.ones_like(p)
+        for term in (even, odd):
+            d, c = 1 + term * d, 1 + term / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            out, step = out * d * c, d * c
+        if np.abs(step - 1).max(initial=0) < 1e-13:
+            break
+    log_front = [math.lgamma(i + j) - math.lgamma(i) - math.lgamma(j) + i * math.log(z) + j * math.log1p(-z) for i, j, z in zip(p, q, y, strict=True)]
+    found = np.exp(log_front) * out / p
+    return np.where(swap, 1 - found, found)
+
+
+def above(a: Column, b: Column, most_bad: float) -> Column:
+    """P(rate > most_bad) under Beta(a, b), one row a host."""
+
+    @F.pandas_udf("double")
+    def tail(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(1 - beta_cdf(most_bad, a.to_numpy(), b.to_numpy()))
+
+    return tail(a, b)
+
+
+def reputation(hosts: DataFrame, folder: str, most_bad: float = MOST_BAD) -> DataFrame:
+    """hosts (host, domain, suffix, n, bad; one row a host) with block_rate (the posterior mean) and block_sure (P(rate > most_bad))."""
     hosts = written(hosts, folder, "hosts")
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = written(domains, folder, "domains")
@@ -83,33 +124,70 @@ def reputation(hosts: DataFrame, folder: str, z: float = 1.645) -> DataFrame:
     ends = ends.select("suffix", ((F.col("bad") + ks * prior) / (F.col("n") + ks)).alias("suffix_rate"))
     domains = domains.join(ends, "suffix").select("domain", ((F.col("bad") + kd * F.col("suffix_rate")) / (F.col("n") + kd)).alias("domain_rate"))
     a, b = F.col("bad") + kh * F.col("domain_rate"), F.col("n") - F.col("bad") + kh * (1 - F.col("domain_rate"))
-    rate = a / (a + b)
-    bound = F.greatest(F.lit(0.0), rate - z * F.sqrt(rate * (1 - rate) / (a + b + 1)))
-    return hosts.join(domains, "domain").select("host", rate.alias("block_rate"), bound.alias("block_bound"))
+    return hosts.join(domains, "domain").select("host", (a / (a + b)).alias("block_rate"), above(a, b, most_bad).alias("block_sure"))
+
 
+def bad_words(host: Column, path: Column, words: list[str] = BAD_WORDS) -> Column:
+    """True where a word of host or path is listed."""
+    return F.arrays_overlap(F.split(F.lower(F.concat(host, F.lit("/"), path)), r"[^a-z0-9]+"), F.array(*map(F.lit, words)))
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes: DataFrame | None = None, most_bad: float = 0.8, suffixes: list[str] = SUFFIXES) -> DataFrame:
-    """pages with host, path, rule, verdict, block_rate and block_bound."""
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes: DataFrame | None = None, most_bad: float = MOST_BAD, sure: float = SURE, suffixes: list[str] = SUFFIXES, broadcast_hosts: int = 200_000) -> DataFrame:
+    """pages with host, path, rule, verdict, block_rate and block_sure. The hosts are broadcast where they are broadcast_hosts at most."""
     folder = shared_folder(pages.sparkSession)
-    results = ("host", "path", "rule", "verdict", "block_rate", "block_bound")
+    results = ("host", "path", "rule", "verdict", "block_rate", "block_sure")
     own = pages.select([c for c in pages.columns if c not in results]).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     text, said = rule_for(F.col("host"), F.col("path"), rules)
     own = own.withColumns({"rule": text, "__said": said})
-    named = F.lit(False)
-    for at in dict.fromkeys(r[1] for r in rules):
-        named = named | (F.col("host") == at) | F.col("host").endswith("." + at)
-    labelled = own.withColumn("__bad", F.when(named, F.coalesce((F.col("__said") == "block").cast("int"), F.lit(0))))
-    if outcomes is not None:
+    if outcomes is None:
+        labelled = own.withColumn("__bad", bad_words(F.col("host"), F.col("path")).cast("int"))
+    else:
         labelled = own.join(outcomes.select("page_id", F.col("bad").cast("int").alias("__bad")), "page_id", "left")
     domain, suffix = levels(F.col("host"), suffixes)
     hosts = labelled.groupBy("host").agg(F.count("__bad").alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
-    known = written(reputation(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), folder), folder, "reputation")
-    # Read from files, so both sides are exchanged and Spark may split a host that has a third of the pages.
-    joined = own.join(known, "host")
-    return joined.withColumn("verdict", F.coalesce("__said", F.when(F.col("block_bound") > most_bad, "block").otherwise("allow"))).drop("__said")
+    known = written(reputation(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), folder, most_bad), folder, "reputation")
+    # Beyond the bound both sides are exchanged, and Spark may split a host that has a third of the pages.
+    joined = own.join(F.broadcast(known) if known.count() <= broadcast_hosts else known, "host")
+    return joined.withColumn("verdict", F.coalesce("__said", F.when(F.col("block_sure") >= sure, "block").otherwise("allow"))).drop("__said")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict."""
+    """One row per page: page_id, host, path, rule, verdict, and block_rate, the posterior mean of its host."""
     out = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_bound", 6).alias("block_bound"))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_rate", 6).alias("block_rate"))
+
+
+def _strength_sql(level: str) -> str:
+    return f"""(SELECT CASE WHEN coalesce(n, 0) = 0 OR k < 2 THEN 1.0 WHEN between_ > 0 THEN least(1000.0, greatest(1.0, within_ / between_ - 1)) WHEN within_ > 0 THEN 1000.0 ELSE 1.0 END
+  FROM (SELECT *, CASE WHEN n - nn / n > 0 THEN (sq - n * mean * mean - (k - 1) * within_) / (n - nn / n) ELSE 0 END AS between_
+    FROM (SELECT *, bad / n AS mean, bad / n * (1 - bad / n) AS within_
+      FROM (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n * (bad / n) * (bad / n)) AS sq, count(*) AS k, sum(n * n)::DOUBLE AS nn FROM {level} WHERE n > 0))))"""
+
+
+def _rule_sql(column: int) -> str:
+    tests = [f"WHEN (host = '{r[1]}' OR suffix(host, '.{r[1]}')) AND starts_with(path, '{r[2]}') THEN '{(r[1] + r[2], r[0])[column]}'" for r in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    return "CASE " + " ".join(tests) + " END"
+
+
+_LISTED = ", ".join(f"'{x}'" for x in BAD_WORDS)
+_DEEP = ", ".join(f"'{x}'" for x in SUFFIXES)
+#: The tail of the beta distribution is summed as a power series, of the smaller side.
+OP10_SQL = rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+w AS (SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS said, list_has_any(string_split_regex(lower(host || '/' || path), '[^a-z0-9]+'), [{_LISTED}])::INTEGER AS bad, string_split(host, '.') AS labels FROM u),
+l AS (SELECT host, any_value(array_to_string(labels[-2:], '.')) AS two, any_value(array_to_string(labels[-3:], '.')) AS three, any_value(labels[-1]) AS one, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM w GROUP BY 1),
+hosts AS (SELECT host, n, bad, CASE WHEN two IN ({_DEEP}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_DEEP}) THEN two ELSE one END AS suffix FROM l),
+domains AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1),
+ends AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
+k AS (SELECT {_strength_sql("ends")} AS ks, {_strength_sql("domains")} AS kd, {_strength_sql("hosts")} AS kh, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM ends) AS prior),
+er AS (SELECT suffix, (bad + ks * prior) / (n + ks) AS suffix_rate FROM ends, k),
+dr AS (SELECT domain, (bad + kd * suffix_rate) / (n + kd) AS domain_rate FROM domains JOIN er USING (suffix), k),
+ab AS (SELECT host, bad + kh * domain_rate AS a, n - bad + kh * (1 - domain_rate) AS b FROM hosts JOIN dr USING (domain), k),
+sides AS (SELECT *, {MOST_BAD} > (a + 1) / (a + b + 2) AS swap FROM ab),
+pq AS (SELECT host, a, b, swap, CASE WHEN swap THEN b ELSE a END AS p, CASE WHEN swap THEN a ELSE b END AS q, CASE WHEN swap THEN 1 - {MOST_BAD} ELSE {MOST_BAD} END AS x FROM sides),
+tails AS (SELECT host, a, b, swap, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(x) + q * ln(1 - x)) / p
+  * list_sum(list_transform(generate_series(0, 3000), lambda i: exp(lgamma(p + q + i) - lgamma(p + q) - lgamma(p + 1 + i) + lgamma(p + 1) + i * ln(x)))) AS below FROM pq),
+rep AS (SELECT host, a / (a + b) AS block_rate, CASE WHEN swap THEN below ELSE 1 - below END AS block_sure FROM tails)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN block_sure >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict, round(block_rate, 6) AS block_rate FROM w JOIN rep USING (host)
+"""
