@@ -1,18 +1,23 @@
 """Surrogate generation for personal data: keyed, type-consistent, collision-checked replacements.
 
 Every entity (e-mail, card, account, social-security and phone number, IP address, secret, person's name)
-is found by one pattern, reduced to a canonical form (case and separators aside), and mapped to a surrogate
-that depends on the key and the canonical form alone, so all mentions of one entity in the whole corpus get
-one surrogate. Names are mapped word by word: a surname keeps its surrogate with or without the first name,
-first names keep their gender (from the title or the list of first names) and all names their script.
-Numbers keep their length and separators, cards their first digit and a valid check digit, IP addresses
-their range, e-mails their shape and top-level domain, secrets their character classes.
+is found by one pattern, reduced to a canonical form (case, separators and a leading +1 aside), and mapped to a
+surrogate that depends on the key and the canonical form alone, so all mentions of one entity in the whole corpus get
+one surrogate. Names are mapped word by word: a surname keeps its surrogate with or without the first name, first
+names keep their gender (from the list of first names, else from the titles that the corpus gives them), Cyrillic
+surnames the ending of theirs, and all names their script and capitals. Where a name was found, its words are
+replaced in the rest of the document too, so no later mention is left. Numbers keep their length and
+separators, cards their first digit and a valid check digit, accounts their country and valid check digits, private
+IP addresses their range, e-mails their shape and top-level domain, secrets their character classes. Not
+found: addresses of IP version 6, names in scripts other than Latin and Cyrillic, and names without a title or a
+listed first name.
 
 Collision check: all distinct entities of the corpus are grouped by their surrogate; where two share one,
 or a surrogate is itself an entity of the corpus, all but the first try the next attempt number, until no
-collision is left. Surnames, secrets, e-mails and phone numbers grow with the attempts, so a free surrogate is
+collision is left. Names, secrets, e-mails and phone numbers grow with the attempts, so a free surrogate is
 found for any number of entities, and for secrets without a letter or digit; the formats of the other kinds
-are fixed (a billion social-security numbers, four billion IP addresses, more of cards and accounts). Built from DataFrame functions alone; texts without entities are never shuffled.
+are fixed (a billion social-security numbers, four billion IP addresses, more of cards and accounts); IP addresses
+leave a range that is full. Built from DataFrame functions alone; texts without entities are never shuffled.
 
 Edge cases: null text stays null with no entities; an empty text stays empty. Rows that repeat doc_id and
 text get the same result. Entities are found in whole texts of any length. An empty table gives an empty
@@ -28,21 +33,26 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table, written
+from .common import partitions, shared_folder, table, written
 
 #: Titles by the gender they tell, and first names by gender and script.
 TITLES = {"m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Doña", "г-жа"], "n": ["Dr", "Prof"]}
 FIRST = {
-    "m": ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Hans", "Klaus", "Jürgen", "Stefan", "Pierre", "Jean", "Luc", "Antoine", "Carlos", "Juan", "Miguel", "Pablo"],
-    "f": ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Emma", "Anna", "Ursula", "Sabine", "Petra", "Marie", "Claire", "Sophie", "Camille", "María", "Carmen", "Lucía", "Elena"],
+    "m": ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Bob", "Paul", "George", "Charles", "Daniel", "Kevin", "Brian", "Steven", "Edward", "Andrew", "Hans", "Klaus", "Jürgen", "Stefan", "Wolfgang", "Pierre", "Jean", "Luc", "Antoine", "François", "Carlos", "Juan", "Miguel", "Pablo", "José"],
+    "f": ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Emma", "Alice", "Jane", "Karen", "Nancy", "Laura", "Julia", "Helen", "Barbara", "Margaret", "Anna", "Ursula", "Sabine", "Petra", "Gisela", "Marie", "Claire", "Sophie", "Camille", "Isabelle", "María", "Carmen", "Lucía", "Elena", "Ana"],
 }
 FIRST_CYRILLIC = {"m": ["Иван", "Пётр", "Алексей", "Дмитрий", "Сергей", "Николай", "Борис", "Олег"], "f": ["Мария", "Ольга", "Анна", "Елена", "Татьяна", "Наталья", "Ирина", "Светлана"]}
 SYLLABLES = {"latin": ["bar", "den", "fal", "gor", "hel", "kin", "lam", "mor", "nel", "par", "ros", "sten", "tal", "ver", "wil", "zan"], "cyrillic": ["бар", "ден", "фал", "гор", "хел", "кин", "лам", "мор", "нел", "пар", "рос", "стен", "тал", "вер", "вил", "зан"]}
+#: Words that begin sentences and are no names where they stand alone.
+COMMON = ["The", "And", "But", "For", "Not", "Was", "With", "That", "This", "Der", "Die", "Das", "Und", "Ein", "Eine", "Les", "Des", "Une", "Que", "Pas", "Los", "Las", "Una", "Del", "Por", "Что", "Как", "Это"]
 LETTERS, DIGITS = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
 
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)?"
+_CAPITALS = r"\p{Lu}{2,}(?:['’-]\p{Lu}{2,})?"
 _TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _FIRST = "|".join(n for names in (*FIRST.values(), *FIRST_CYRILLIC.values()) for n in names)
+#: A name in one way of writing: capitalised words, or capitals throughout.
+_AFTER = rf"(?:{_NAME}(?: {_NAME})?|{_CAPITALS}(?: {_CAPITALS})?)"
 #: One alternative for each kind, tried in this order at each place. Each begins with a cheap necessary condition
 #: on one or two characters, so that most places of a text are passed without the costly part.
 PATTERNS = {
@@ -53,25 +63,38 @@ PATTERNS = {
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "phone": r"(?=[0-9+( .-])(?:(?<![0-9])\+?[0-9]{0,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))",
-    "person": rf"(?=\p{{Lu}})(?:(?<=[ ])(?<=\b(?:{_TITLES})\.? ){_NAME}(?: {_NAME})?|\b(?:{_FIRST}) {_NAME})",
+    "person": rf"(?=\p{{Lu}})(?:(?<=[ ])(?<=\b(?:{_TITLES})\.? ){_AFTER}|\b(?:(?:{_FIRST}) {_NAME}|(?:{_FIRST.upper()}) {_CAPITALS}))(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every secret holds or follows one of these, in any case.
 SECRET_MARKS = ["akia", "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xoxb", "xoxp"]
-TITLED = rf"(?=\p{{L}})\b({_TITLES})\.? ({_NAME})(?: ({_NAME}))?"
+TITLED = rf"(?=\p{{L}})\b(?:{_TITLES})\.? {_AFTER}(?!\p{{L}})"
+PERSON = rf"^(?:{_NAME}(?: {_NAME})?|{_CAPITALS}(?: {_CAPITALS})?)$"
 
 
 def kind_of(value: Column) -> Column:
     kind = F.lit("person")
     for name in reversed([k for k in PATTERNS if k not in ("secret", "person")]):
         kind = F.when(value.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
-    plain = value.rlike(rf"^{_NAME}(?: {_NAME})?$")
+    plain = value.rlike(PERSON)
     return F.when(plain, "person").when(kind == "person", "secret").otherwise(kind)
 
 
+def bare_of(value: Column) -> Column:
+    return F.regexp_replace(value, r"[ .()+-]", "")
+
+
+def national(value: Column) -> Column:
+    """True for a phone number of ten digits with a 1 before them, which says the country and no more."""
+    return bare_of(value).rlike("^1[0-9]{10}$")
+
+
 def canonical(kind: Column, value: Column) -> Column:
-    bare = F.regexp_replace(value, r"[ .()+-]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "account", "ssn", "phone"), bare).otherwise(value)
+    bare = bare_of(value)
+    phone = F.when(national(value), F.substr(bare, F.lit(2))).otherwise(bare)
+    name = F.when(value == F.upper(value), F.initcap(F.lower(value))).otherwise(value)
+    out = F.when(kind == "email", F.lower(value)).when(kind == "phone", phone).when(kind.isin("card", "account", "ssn"), bare)
+    return out.when(kind.rlike("^(first|last)-"), name).otherwise(value)
 
 
 def hex_of(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -117,11 +140,36 @@ def check_digit(head: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def account_digits(country: Column, rest: Column) -> Column:
+    """The two check digits of an account number: 98 less the remainder by 97 of rest, country and 00, letters as 10 to 35."""
+
+    def step(acc: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c == "", acc).when(c.rlike("[0-9]"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + letter) % 97)
+
+    remainder = F.aggregate(F.split(F.concat(rest, country, F.lit("00")), ""), F.lit(0), step)
+    return F.lpad((98 - remainder).cast("string"), 2, "0")
+
+
+def address(entity: Column, h: Column, attempt: Column) -> Column:
+    """An IP address of the same private range, or a public one; at late attempts of a wider range."""
+    octet = lambda i: (number_at(h, F.lit(i), 254) + 1).cast("string")
+    parts = F.split(entity, r"\.")
+    second = parts[1].cast("int")
+    near = lambda *kept: F.concat_ws(".", *kept, *[octet(k) for k in range(len(kept), 4)])
+    out = F.when(attempt >= 20, near()).when(parts[0].isin("10", "127"), near(parts[0]))
+    small = (parts[0] == "192") & (parts[1] == "168")
+    middle = (parts[0] == "172") & second.between(16, 31)
+    out = out.when((small | middle) & (attempt >= 8), near(F.lit("10")))
+    out = out.when(small, near(parts[0], parts[1])).when(middle, near(parts[0], (16 + number_at(h, F.lit(9), 16)).cast("string")))
+    return out.otherwise(near((128 + number_at(h, F.lit(9), 40)).cast("string")))
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate of a canonical entity. Kinds of name words: first-m, first-f, last, with their script.
+    """The canonical surrogate of a canonical entity. Kinds of name words: first-m, first-f, first-n, last, with their script.
 
-    Surnames and secrets get longer with every second attempt, e-mails and phone numbers with every eighth, so
-    the surrogates to choose from outgrow any number of entities.
+    Surnames and secrets get longer with every second attempt, first names with every fourth, e-mails and phone
+    numbers with every eighth, so the surrogates to choose from outgrow any number of entities.
     """
     h = hex_of(key, kind, entity, attempt)
     top = F.regexp_extract(entity, r"\.[^.@]+$", 0)
@@ -129,17 +177,20 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     email = F.concat(longer(LETTERS, 8), same_classes(F.substr(entity, F.lit(1), F.length(entity) - F.length(top)), h, F.lit(0)), top)
     head = same_classes(F.substr(entity, F.lit(1), F.length(entity) - 1), h, F.lit(1))
     card = F.concat(head, check_digit(head))
-    octet = lambda i: (number_at(h, F.lit(i), 254) + 1).cast("string")
-    ip = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
+    country, rest = F.substr(entity, F.lit(1), F.lit(2)), same_classes(F.substr(entity, F.lit(5)), h, F.lit(0))
+    account = F.concat(country, account_digits(country, rest), rest)
     phone = F.concat(same_classes(entity, h, F.greatest(F.length(entity) - 10, F.lit(0))), longer(DIGITS, 8))
     secret = F.concat(same_classes(entity, h, F.when(entity.startswith("AKIA"), 4).otherwise(0)), longer(LETTERS, 2))
-    out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", same_classes(entity, h, F.lit(0))).when(kind == "account", same_classes(entity, h, F.lit(2)))
+    out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", address(entity, h, attempt)).when(kind == "phone", phone).when(kind == "ssn", same_classes(entity, h, F.lit(0))).when(kind == "account", account)
     for script, lists in (("latin", FIRST), ("cyrillic", FIRST_CYRILLIC)):
-        for gender, names in lists.items():
-            words = [pick(names, number_at(h, F.lit(k), len(names))) for k in range(3)]
-            first = F.when(attempt == 0, words[0]).when(attempt < 4, F.concat_ws("-", *words[:2])).otherwise(F.concat_ws("-", *words))
+        for gender, names in (lists | {"n": lists["m"] + lists["f"]}).items():
+            count = F.floor(attempt / 4).cast("int")
+            first = F.array_join(F.transform(F.sequence(F.lit(0), count), lambda k: pick(names, number_at(h, k, len(names)))), "-")  # noqa: B023
             out = out.when(kind == f"first-{gender}-{script}", first)
-        out = out.when(kind == f"last-{script}", F.initcap(drawn(SYLLABLES[script], h, F.floor(attempt / 2).cast("int") + 3)))
+        last = F.initcap(drawn(SYLLABLES[script], h, F.floor(attempt / 2).cast("int") + 3))
+        if script == "cyrillic":
+            last = F.concat(last, F.when(entity.rlike("[ая]$"), "ова").otherwise("ов"))
+        out = out.when(kind == f"last-{script}", last)
     return out.otherwise(secret)
 
 
@@ -179,18 +230,30 @@ def mentions(docs: DataFrame) -> DataFrame:
             led = rf"^(?:{'|'.join(titles)})\.? "
             gender = F.when(F.size(F.filter(said, lambda t: t.rlike(led))) > 0, g).otherwise(gender)  # noqa: B023
     words = F.when(F.col("kind") == "person", F.split("value", " ")).otherwise(F.array("value"))
-    rows = rows.withColumn("title", gender).select("doc_id", "h", "pos", "kind", "title", F.posexplode(words).alias("sub", "value"))
+    rows = rows.select("doc_id", "h", "pos", "kind", gender.alias("title"), F.size(words).alias("n"), F.posexplode(words).alias("sub", "value"))
     script = F.when(F.col("value").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    known = lambda g: F.col("value").isin(FIRST[g] + FIRST_CYRILLIC[g])
-    by_name = F.when(known("m"), "m").when(known("f"), "f")
-    name = F.when((F.col("sub") == 0) & by_name.isNotNull(), F.concat(F.lit("first-"), by_name, F.lit("-"), script)).otherwise(F.concat(F.lit("last-"), script))
-    kind = F.when(F.col("kind") == "person", name).otherwise(F.col("kind"))
-    rows = rows.withColumn("kind", kind)
+    shown = canonical(F.lit("first-"), F.col("value"))
+    known = lambda g: shown.isin(FIRST[g] + FIRST_CYRILLIC[g])
+    told = F.when(known("m"), "m").when(known("f"), "f").when(F.col("n") == 2, F.col("title"))
+    name = F.when((F.col("sub") == 0) & told.isNotNull(), F.concat(F.lit("first-"), told, F.lit("-"), script)).otherwise(F.concat(F.lit("last-"), script))
+    rows = rows.withColumn("kind", F.when(F.col("kind") == "person", name).otherwise(F.col("kind")))
     return rows.select("doc_id", "h", "pos", "sub", "value", "kind", canonical(F.col("kind"), F.col("value")).alias("entity"))
 
 
+def one_gender(found: DataFrame, folder: str) -> DataFrame:
+    """mentions with one gender for each first name: what most titles of the corpus say; without any, neutral."""
+    first = F.split("kind", "-")
+    names = found.filter("kind LIKE 'first-%'").groupBy("entity", first[2].alias("script")).agg(F.count_if(first[1] == "f").alias("f"), F.count_if(first[1] == "m").alias("m"))
+    gender = F.when(F.col("f") + F.col("m") == 0, "n").when(F.col("f") >= F.col("m"), "f").otherwise("m")
+    names = written(names.select("entity", F.lit(True).alias("__first"), "script", F.concat(F.lit("first-"), gender, F.lit("-"), "script").alias("__kind")), folder, "genders")
+    told = found.withColumns({"__first": F.col("kind").startswith("first-"), "script": F.when(F.col("kind").startswith("first-"), first[2])})
+    joined = told.join(names, ["entity", "__first", "script"], "left")
+    return joined.select("doc_id", "h", "pos", "sub", "value", F.coalesce("__kind", "kind").alias("kind"), "entity")
+
+
 def distinct_surrogates(entities: DataFrame, key: str, folder: str, most: int = 40) -> DataFrame:
     """entities (kind, entity; distinct) with a surrogate that no other entity of the kind has or is."""
+    entities = entities.repartition(partitions(entities.sparkSession), "kind", "entity")
     now = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(0), key)), folder, "attempt-0")
     for turn in range(1, most):
         real = now.select("kind", F.col("entity").alias("surrogate"))
@@ -206,24 +269,37 @@ def distinct_surrogates(entities: DataFrame, key: str, folder: str, most: int =
     raise RuntimeError(f"surrogates still collide after {most} attempts")
 
 
+def renamed(text: Column, names: Column) -> Column:
+    """text with the words of names (value, new) replaced wherever they stand as whole words."""
+    joint = F.filter(names, lambda x: x["value"].rlike(r"[^\p{L}]"))
+    out = F.aggregate(joint, text, lambda acc, x: F.replace(acc, x["value"], x["new"]))
+    words = F.split(out, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)
+    one = lambda w: F.coalesce(F.get(F.filter(names, lambda x: x["value"] == w), F.lit(0))["new"], w)
+    return F.when(F.size(names) == 0, text).otherwise(F.array_join(F.transform(words, one), ""))
+
+
 def replace(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     """docs with text replaced, n_entities and kinds (sorted, joined by `,`)."""
     folder = shared_folder(docs.sparkSession)
     own = docs.drop("n_entities", "kinds", "__values")
     marked = written(tagged(own), folder, "tagged")
-    found = written(mentions(marked), folder, "mentions")
+    found = written(one_gender(written(mentions(marked), folder, "words"), folder), folder, "mentions")
     known = distinct_surrogates(found.select("kind", "entity").distinct(), key, folder)
-    bare = F.col("kind").isin("card", "account", "ssn", "phone")
     words = found.join(known.select("kind", "entity", "surrogate"), ["kind", "entity"])
-    words = words.withColumn("new", F.when(bare, fill(F.col("value"), F.col("surrogate"))).otherwise(F.col("surrogate")))
+    country = F.when((F.col("kind") == "phone") & national(F.col("value")), "1").otherwise("")
+    named = F.col("kind").rlike("^(first|last)-")
+    new = F.when(F.col("kind").isin("card", "account", "ssn", "phone"), fill(F.col("value"), F.concat(country, "surrogate")))
+    new = new.when(named & (F.col("value") == F.upper("value")), F.upper("surrogate")).otherwise(F.col("surrogate"))
+    again = named & (F.length("value") >= 3) & ~F.col("value").isin(COMMON)
+    words = words.withColumns({"new": new, "name": F.when(again, F.struct(F.col("value"), new.alias("new")))})
     kind = F.when(F.col("kind").rlike("^(first|last)-"), "person").otherwise(F.col("kind"))
-    by_doc = words.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "new"))).alias("words"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "words", "kinds")
+    by_doc = words.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "new"))).alias("words"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"), F.array_sort(F.collect_set("name")).alias("names"))
+    by_doc = by_doc.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "words", "kinds", "names")
     has = F.size("__values") > 0
     gaps = F.split("text", ANY, -1)
     at = lambda i: F.array_join(F.transform(F.filter("words", lambda w: w["pos"] == i), lambda w: w["new"]), " ")
     n = F.element_at("words", -1)["pos"] + 1
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(i < n, at(i)).otherwise(F.lit("")))), "")
+    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(renamed(g, F.col("names")), F.when(i < n, at(i)).otherwise(F.lit("")))), "")
     hit = marked.filter(has).join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__h")))
     hit = hit.withColumns({"text": text, "n_entities": n.cast("bigint")}).select(*own.columns, "n_entities", "kinds")
     rest = marked.filter(~has).withColumns({"n_entities": F.lit(0).cast("bigint"), "kinds": F.lit("")})
