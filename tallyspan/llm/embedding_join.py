@@ -4,8 +4,14 @@ Unit vectors with a cosine of at least t lie within sqrt(2 - 2t) of each other.
 their principal axes, sorted by the cells of a grid of that width on the leading axes, and cut into blocks
 of the sequence. Pairs of sequence intervals are joined recursively: intervals of 16 times fewer blocks at
 each level, and only pairs whose bounding boxes on the leading axes lie within the width go on. Surviving
-pairs of blocks meet in a task, where the recursion goes on down to small matrix products. A task emits the
-number of links of each vector and a spanning forest of the links, never the links themselves.
+pairs of blocks are gathered in tiles, the pairs of two stripes of up to `TILE` blocks: a block is sent once
+to each tile that needs it, in the vectors' own precision, and meets its partners there, where the recursion goes on
+down to small matrix products. A stripe is a sixteenth of all blocks, so up to 16 * TILE blocks the bytes sent grow in
+proportion to the vectors; beyond, a stripe's bytes are bounded (`TILE_BYTES`) and they grow with the surviving tiles.
+A task emits the number of links of each vector and a spanning forest of the links, never the links themselves.
+
+Vectors of more than `MOST_AXES` components are turned to random axes first, of which the principal ones are
+sought, so the sums that reach the driver are bounded. Any axes at right angles keep the result exact.
 
 Vectors with equal components are one node with a weight from the start.
 
@@ -24,14 +30,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_folder, table, written
 from .components import components
 
 LEADING, BLOCK, FAN, LEAF = 8, 2048, 16, 256
-STRIDE = FAN * FAN
+STRIPES, TILE, TILE_BYTES, MOST_AXES = 16, 64, 48_000_000, 128
+BLOCKS_A_SHARD = 64
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -39,6 +46,11 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size)
 
 
+def precision_of(kind: str) -> type:
+    """The precision that holds the components of a list column without loss."""
+    return np.float32 if kind == "array<float>" else np.float64
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows at length 1; scaled first, so that very large and very small components neither overflow nor vanish."""
     rows = rows / np.abs(rows).max(1, keepdims=True)
@@ -46,29 +58,36 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def axes(vectors: DataFrame, size: int, leading: int) -> tuple[np.ndarray, int]:
-    """The leading principal axes, and the number of vectors: sums of products are added up by Spark, size * size numbers."""
+    """Leading principal axes, and the number of vectors: sums of products are added up by Spark, MOST_AXES ** 2 numbers at most."""
+    wide = np.eye(size)
+    if size > MOST_AXES:
+        wide = np.linalg.qr(np.random.default_rng(5).normal(size=(size, MOST_AXES)))[0]
+    k = wide.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size + 1, size + 1))
+        total = np.zeros((k + 1, k + 1))
         for batch in batches:
             if batch.num_rows:
-                rows = np.hstack([unit(matrix(batch.column("v"), size)), np.ones((batch.num_rows, 1))])
+                rows = np.hstack([unit(matrix(batch.column("v"), size)) @ wide, np.ones((batch.num_rows, 1))])
                 total += rows.T @ rows
         yield pa.RecordBatch.from_pydict({"i": np.arange(total.size, dtype=np.int32), "s": total.ravel()})
 
     sums = vectors.select("v").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
-    total = np.zeros((size + 1) ** 2)
+    total = np.zeros((k + 1) ** 2)
     total[sums.i.to_numpy()] = sums.s.to_numpy()
-    total = total.reshape(size + 1, size + 1)
+    total = total.reshape(k + 1, k + 1)
     n = round(total[-1, -1])
     mean = total[-1, :-1] / max(n, 1)
     _, found = np.linalg.eigh(total[:-1, :-1] / max(n, 1) - np.outer(mean, mean))
-    return found[:, ::-1][:, :leading].copy(), n
+    return wide @ found[:, ::-1][:, :leading], n
 
 
 def blocks(vectors: DataFrame, size: int, basis: np.ndarray, n: int, width: float, folder: str, block: int) -> DataFrame:
     """Blocks of the grid order: idx, ids, weights, vectors, lo, hi (box on the leading axes)."""
 
+    kind = vectors.schema["v"].dataType.simpleString()
+    precision = precision_of(kind)
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.floor(unit(matrix(batch.column("v"), size)) @ basis / width).astype(np.int32) if batch.num_rows else np.zeros((0, basis.shape[1]), np.int32)
@@ -82,7 +101,7 @@ def blocks(vectors: DataFrame, size: int, basis: np.ndarray, n: int, width: floa
             v = matrix(rows.column("v"), size)
             at = unit(v) @ basis
             ids, weights = rows.column("id").to_numpy(), rows.column("w").to_numpy()
-            return pa.RecordBatch.from_pydict({"idx": pa.array([shard * STRIDE + k], pa.int64()), "ids": [ids.tobytes()], "weights": [weights.tobytes()], "vectors": [v.tobytes()], "lo": [at.min(0).tolist()], "hi": [at.max(0).tolist()]})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "k": pa.array([k], pa.int64()), "ids": [ids.tobytes()], "weights": [weights.tobytes()], "vectors": [v.astype(precision).tobytes()], "lo": [at.min(0).tolist()], "hi": [at.max(0).tolist()]})
 
         for batch in batches:
             while batch.num_rows:
@@ -95,10 +114,14 @@ def blocks(vectors: DataFrame, size: int, basis: np.ndarray, n: int, width: floa
         if held:
             yield block_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    parts = max(min(partitions(vectors.sparkSession), -(-n // block)), -(-n // (block * STRIDE // 4)), 1)
-    kind = vectors.schema["v"].dataType.simpleString()
+    parts = max(min(partitions(vectors.sparkSession), -(-n // block)), -(-n // (block * BLOCKS_A_SHARD)), 1)
     ordered = vectors.mapInArrow(cells, f"id bigint, w bigint, v {kind}, cell array<int>").repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")
-    return written(ordered.select("id", "w", "v").mapInArrow(cut, "idx bigint, ids binary, weights binary, vectors binary, lo array<double>, hi array<double>"), folder, "blocks")
+    made = ordered.select("id", "w", "v").mapInArrow(cut, "shard bigint, k bigint, ids binary, weights binary, vectors binary, lo array<double>, hi array<double>")
+    made = written(made, folder, "blocks")
+    # One row a shard, so this window over all of them is small; it numbers the blocks without a gap.
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    starts = made.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", F.coalesce(before, F.lit(0)).alias("start"))
+    return made.join(F.broadcast(written(starts, folder, "block-starts")), "shard").withColumn("idx", F.col("start") + F.col("k")).drop("shard", "start", "k")
 
 
 def near_blocks(boxes: DataFrame, width: float, top: int) -> DataFrame:
@@ -137,12 +160,12 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
 class BlockJoin:
     """Joins two blocks recursively; counts weighted links and gathers forest edges."""
 
-    def __init__(self, least: float, basis: np.ndarray):
-        self.least, self.basis = least, basis
+    def __init__(self, least: float, basis: np.ndarray, precision: type):
+        self.least, self.basis, self.precision = least, basis, precision
         self.width = np.sqrt(2 - 2 * least) * (1 + 1e-9)
 
-    def load(self, row: dict, size: int) -> tuple:
-        raw = np.frombuffer(row["vectors"], np.float64).reshape(-1, size)
+    def load(self, row: dict) -> tuple:
+        raw = np.frombuffer(row["vectors"], self.precision).reshape(-1, len(self.basis)).astype(np.float64)
         u = unit(raw)
         return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64), u, u @ self.basis
 
@@ -174,17 +197,26 @@ class BlockJoin:
             self.edges += [(int(self.a[0][i + r]), int(self.b[0][j + c])) for r, c in forest(near)]
 
 
-def block_links(pairs: DataFrame, held: DataFrame, size: int, least: float, basis: np.ndarray) -> DataFrame:
-    """a, b, n: counts of links (b null) and forest edges (n 0) of all pairs of blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joiner = BlockJoin(least, basis)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                same = row["i"] == row["j"]
-                a = joiner.load(row["x"], size)
-                b = a if same else joiner.load(row["y"], size)
+def tile_links(pairs: DataFrame, held: DataFrame, least: float, basis: np.ndarray, precision: type, side: int) -> DataFrame:
+    """a, b, n: counts of links (b null) and forest edges (n 0) of all pairs of blocks, tile by tile of side * side blocks."""
+    corner = lambda c: F.floor(F.col(c) / side).alias(c[0] + "_tile")
+    tiles = pairs.select(corner("i"), corner("j"), "i", "j")
+    keys = ["i_tile", "j_tile"]
+    sent = tiles.select(*keys, F.col("i").alias("place")).unionByName(tiles.select(*keys, F.col("j").alias("place"))).distinct()
+
+    def links(joiner: BlockJoin, tile: tuple[int, int], rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for x in rows:
+            if x["place"] // side != tile[0]:
+                continue
+            a = joiner.load(x)
+            for y in rows:
+                if y["place"] // side != tile[1] or y["place"] < x["place"]:
+                    continue
+                gap = np.maximum(0, np.maximum(np.subtract(x["lo"], y["hi"]), np.subtract(y["lo"], x["hi"])))
+                if gap @ gap > joiner.width**2:
+                    continue
+                same = x["place"] == y["place"]
+                b = a if same else joiner.load(y)
                 na, nb, edges = joiner.join(a, b, same)
                 some = [(ids[m], counts[m]) for ids, counts in ((a[0], na), (b[0], nb)) for m in [counts > 0]]
                 e = np.array(edges, np.int64).reshape(-1, 2)
@@ -193,8 +225,20 @@ def block_links(pairs: DataFrame, held: DataFrame, size: int, least: float, basi
                 right = pa.array(np.concatenate([np.zeros(len(ids), np.int64), e[:, 1]]), mask=np.arange(len(left)) < len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(left), right, pa.array(np.concatenate([counts, np.zeros(len(e), np.int64)]))], names=["a", "b", "n"])
 
-    x, y = (held.select(F.col("idx").alias(c), F.struct("ids", "weights", "vectors").alias(n)) for c, n in (("i", "x"), ("j", "y")))
-    return pairs.join(x, "i").join(y, "j").select("i", "j", "x", "y").mapInArrow(run, "a bigint, b bigint, n bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joiner, tile, rows = BlockJoin(least, basis, precision), None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["i_tile"], row["j_tile"]) != tile:
+                    if rows:
+                        yield from links(joiner, tile, rows)
+                    tile, rows = (row["i_tile"], row["j_tile"]), []
+                rows.append(row)
+        if rows:
+            yield from links(joiner, tile, rows)
+
+    full = sent.join(held.withColumnRenamed("idx", "place"), "place").repartition(*keys).sortWithinPartitions(*keys, "place")
+    return full.mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def linked_nodes(rows: DataFrame, size: int, least: float, leading: int, block: int, folder: str) -> DataFrame:
@@ -205,7 +249,10 @@ def linked_nodes(rows: DataFrame, size: int, least: float, leading: int, block:
     boxes = held.select("idx", "lo", "hi")
     top = held.agg(F.max("idx")).first()[0]
     pairs = written(near_blocks(boxes, float(np.sqrt(2 - 2 * least)), top), folder, "block-pairs")
-    found = written(block_links(pairs.repartition("i", "j"), held, size, least, basis), folder, "links")
+    precision = precision_of(nodes.schema["v"].dataType.simpleString())
+    bytes_each = block * size * np.dtype(precision).itemsize
+    side = int(max(1, min(-(-(top + 1) // STRIPES), TILE, TILE_BYTES // bytes_each)))
+    found = written(tile_links(pairs, held, least, basis, precision, side), folder, "links")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comps = components(found.filter("b IS NOT NULL").select("a", "b"), folder)
     facts = nodes.join(counts, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
