@@ -2,7 +2,8 @@
 
 The index is a Parquet table with one row for each distinct normalised text, bucketed and sorted by
 digest. A batch is reduced to one row for each digest, the sort-merge anti-join with the index needs no
-shuffle of the index, and what is new is appended. Digests alone are shuffled, never texts; a digest held
+shuffle of the index, and what is new is appended. A text of a later batch that the index holds is
+known by the keep_id of the batch that brought it; group sizes count the rows of that batch alone. Digests alone are shuffled, never texts; a digest held
 by a third of all rows is pre-aggregated on the map side.
 
 Edge cases: null text counts as empty, and all empty texts are equal. A null doc_id sorts after every
@@ -69,7 +70,10 @@ def assign(docs: DataFrame, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     rows = written(digests(docs), folder, "digests")
-    groups = DigestIndex(spark, f"{folder}/index").add(rows, "first")
+    index = DigestIndex(spark, f"{folder}/index")
+    groups = index.add(rows, "first")
+    # The groups are read by their path; an index that serves one run alone leaves no name in the catalogue.
+    spark.sql(f"DROP TABLE {index.name}")
     # The groups are read from their files, so both sides are exchanged and Spark may split a hot digest.
     joined = rows.join(groups.select("digest", "keep_id", "group_size"), "digest")
     return joined.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))

@@ -12,7 +12,8 @@ may split at a hot source.
 
 Edge cases: null text counts no characters; a source without characters gets rate 1. Null sources form one
 source, null doc_ids hash as the empty text. Repeated rows get equal counts. With explicit weights a source
-that they don't name gets rate 0. An empty table gives an empty result. Extra columns pass through.
+that they don't name gets rate 0. An empty table gives an empty result. Extra columns pass
+through unless they are named copy or shuffle_key, the names of results.
 """
 
 from __future__ import annotations

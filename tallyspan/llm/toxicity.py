@@ -2,7 +2,7 @@
 
 A lexicon transducer maps words to symbols: insult (I), threat (T), target (Y), negation (N), reported
 speech (R), other (O). Its insult arcs are words and word beginnings with their log-odds, learned from
-labelled rows; the rest is a fixed list. Three transducers over symbols are composed into one: negation
+labelled rows; threats are a fixed list with learned log-odds, the rest is a fixed list. Three transducers over symbols are composed into one: negation
 turns an insult or threat within three words after N into its negated form; reported speech turns those
 after R, up to the clause's end, into their reported form; the target transducer tells those in a clause
 that has named a target from the others. Every arc that ends in an event carries the lexicon's weight, and a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold_of, shared_folder, slices, table, written
 
-SAMPLE_ROWS, FOLDS, HELD, LIMIT = 8000, 3, 1, 0.7
+SAMPLE_ROWS, FOLDS, HELD, LIMIT, UNSEEN_THREAT = 8000, 3, 1, 0.7, 1.0
 #: Closed-class words of the four languages, and threats.
 TARGETS = "you your yours he she they him her them this that these those du dich dir dein deine sie ihr ihm er dieser diese tu toi te ton ta vous votre il elle ils ce cette ces tú ti usted ustedes vosotros él ella ellos este esta estos".split()
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't without nicht kein keine keinen nie niemals ohne pas jamais ne sans aucun nunca jamás sin ningún ninguna".split()
@@ -103,8 +103,8 @@ CLOSED = {w: s for words, s in ((TARGETS, "Y"), (NEGATIONS, "N"), (REPORTS, "R")
 class Grammar:
     """The lexicon transducer with the composed clause grammar."""
 
-    def __init__(self, lexicon: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = lexicon, stems
+    def __init__(self, lexicon: dict[str, float], stems: dict[str, float], threats: dict[str, float] | None = None):
+        self.words, self.stems, self.threats = lexicon, stems, dict.fromkeys(THREATS, UNSEEN_THREAT) | (threats or {})
         self.lengths = sorted({len(s) for s in stems})
         arcs = [re.escape(w) + r"\b" for w in sorted([*lexicon, *THREATS])] + [re.escape(s) for s in sorted(stems)]
         self.trigger = re.compile(r"\b(?:" + "|".join(arcs) + ")")
@@ -117,7 +117,7 @@ class Grammar:
             if (w := self.stems.get(word[:n])) is not None:
                 return "I", w
         s = CLOSED.get(word, "O")
-        return s, 3.0 if s == "T" else 0.0
+        return s, self.threats[word] if s == "T" else 0.0
 
     def events(self, text: str) -> np.ndarray:
         """Summed weights of each kind of event over all clauses of text."""
@@ -159,7 +159,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, en
     support = max(3.0, 0.004 * toxic)
     words = rows.select("toxic", F.array_distinct(F.split("text", r"[^\p{L}\p{N}']+")).alias("words"))
     by_word = words.select("toxic", F.explode("words").alias("word")).filter("length(word) > 2").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    by_word = written(by_word, shared_folder(docs.sparkSession), "words")
     lexicon = odds(by_word, "word", toxic, clean, support, 3.5, entries)
+    # A listed threat weighs what the labels say of it, nothing where they say that clean texts have it as often.
+    threats = odds(by_word.filter(F.col("word").isin(THREATS)), "word", toxic, clean, 0, -99.0, len(THREATS))
+    threats = {w: max(0.0, v) for w, v in threats.items()}
     stems: dict[str, float] = {}
     for size in (4, 5, 6):
         starts = F.array_distinct(F.transform(F.filter("words", lambda w: F.length(w) > size), lambda w: F.substring(w, 1, size)))  # noqa: B023
@@ -167,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, en
         for stem, weight in odds(by_stem, "stem", toxic, clean, 2 * support, 3.5, entries).items():
             if not any(stem.startswith(s) for s in stems):
                 stems[stem] = weight
-    grammar = Grammar({w: v for w, v in lexicon.items() if not any(w.startswith(s) and len(w) > len(s) for s in stems)}, stems)
+    grammar = Grammar({w: v for w, v in lexicon.items() if not any(w.startswith(s) and len(w) > len(s) for s in stems)}, stems, threats)
     found = features(rows, grammar).join(sample, "doc_id").orderBy("doc_id").toPandas()
     x = np.log1p(np.stack(found["events"].to_numpy()))
     return grammar, logistic(np.hstack([x, np.ones((len(x), 1))]), found["toxic"].to_numpy(float))
@@ -187,10 +191,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 
 def features(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, events (summed weights of each kind) for every row."""
-    lexicon, stems = grammar.words, grammar.stems
+    lexicon, stems, threats = grammar.words, grammar.stems, grammar.threats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Grammar(lexicon, stems)
+        own = Grammar(lexicon, stems, threats)
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [own.events(t).tolist() if t else [0.0] * len(EVENTS) for t in part.column("text").to_pylist()]

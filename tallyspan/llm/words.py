@@ -64,5 +64,5 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         for at in range(hi, end[j - 1], BLOCK):
             part = data[at : min(at + BLOCK, end[j - 1])]
             rest = int(((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)]).sum())
-            out[j - 1] += np.uint64(rest * pow(BASE, int(at - begin[j - 1]), 1 << 64) % (1 << 64))
+            out[j - 1 : j] += np.array([rest * pow(BASE, int(at - begin[j - 1]), 1 << 64) % (1 << 64)], np.uint64)
     return mixed(out + (end - begin).astype(np.uint64))
