@@ -264,7 +264,7 @@ def predict(docs: DataFrame, net: Network, *carried: str) -> DataFrame:
     return docs.select("doc_id", "text", letter.alias("letter"), *carried).mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double{more}")
 
 
-def keep_languages(docs: DataFrame, margin: float = 0.05) -> DataFrame:
+def keep_languages(docs: DataFrame, margin: float = 0.02) -> DataFrame:
     """docs without the rows that have no letter or whose best language hardly beats chance.
 
     With k languages, chance is 1 / k; a row needs a score of 1 / k + margin * (1 - 1 / k). Decided by row: other
