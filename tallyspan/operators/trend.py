@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MONTH_DAYS, NEWTON_STEPS, LEAST_MONTHS = 30.4375, 25, 12
 
@@ -17,10 +15,18 @@ _SUMS = """aggregate(series, struct(0D AS g0, 0D AS g1, 0D AS h00, 0D AS h01, 0D
     s.h00 + x.e * exp({a} + {b} * x.t) AS h00, s.h01 + x.t * x.e * exp({a} + {b} * x.t) AS h01, s.h11 + x.t * x.t * x.e * exp({a} + {b} * x.t) AS h11))"""
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided(z: pd.Series) -> pd.Series:
-    """The normal tail probability of |z|, on one row a group; Spark has no erfc."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v is not None and not math.isnan(v) else None)
+def two_sided(z: Column) -> Column:
+    """The normal tail probability beyond |z| on either side: a power series near 0, a continued fraction further out."""
+    w = F.abs(z) / math.sqrt(2)
+    start = F.struct(w.alias("t"), w.alias("s"))
+
+    def term(acc: Column, k: Column) -> Column:
+        t = acc["t"] * 2.0 * w * w / (2 * k + 3).cast("double")
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-w * w) * F.aggregate(F.sequence(F.lit(0), F.lit(80)), start, term, lambda acc: acc["s"])
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), w, lambda f, k: w + k.cast("double") / 2.0 / f)
+    return F.when(w < 2.5, near).otherwise(F.exp(-w * w) / (math.sqrt(math.pi) * fraction))
 
 
 def poisson_trend(monthly: DataFrame, label: str, n: str, exposure: str) -> DataFrame:

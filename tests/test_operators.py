@@ -9,7 +9,7 @@ from tallyspan.functions.taxonomy import CLASS_CODES, classify
 from tallyspan.operators import calendar as cal
 from tallyspan.operators.intervals import allocate_exposure, at_risk, attach_points, fill_open_end, merge_intervals
 from tallyspan.operators.quantiles import quantiles
-from tallyspan.operators.trend import poisson_trend, trend_screen
+from tallyspan.operators.trend import poisson_trend, trend_screen, two_sided
 from tallyspan.plans.queries import QUERIES
 from tallyspan.sources.io import export_manifest, locate, privacy_audit, read_table, write_aggregate
 from tallyspan.sources.store import shared_folder
@@ -160,4 +160,10 @@ def test_plans_read_each_table_a_few_times(spark):
     for name in ("selected_series", "trend_screen_target_days", "detection_rates_five_panel_category", "monthly_overall_rates"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") <= 12, name
-        assert "CartesianProduct" not in plan, name
+        assert "CartesianProduct" not in plan and "Python" not in plan, name
+
+
+def test_two_sided(spark):
+    values = [0.0, 1e-9, -0.5, 1.0, 1.96, -3.0, 3.53, 3.54, 6.0, -12.0, 30.0]
+    got = spark.createDataFrame([(v,) for v in values], "z double").select("z", two_sided(F.col("z")).alias("p")).collect()
+    assert all(math.isclose(r.p, math.erfc(abs(r.z) / math.sqrt(2)), rel_tol=1e-9) for r in got)
