@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, shared_folder, slices, table, text_buffers, without, written
 
-CORE, CONTEXT, LANES, HIDDEN = 240, 16, 2048, 8
+CORE, CONTEXT, LANES, HIDDEN = 240, 16, 1024, 8
 TRAIN_WINDOW, SAMPLE_ROWS, SAMPLE_CHARS = 48, 2000, 3000
 
 
