@@ -798,7 +798,7 @@ for _set, _rates, _lab in (("top", top_rates, _TOP_LAB), ("target", target_rates
 
 
 @register("empty_target_grid", monthly_binding, _CLIPPED + """lab AS (SELECT event_id, month, 'a' AS label FROM detections WHERE false), named AS (SELECT unnest(['Absent', 'Lacking']) AS label),
-""" + _RATE_SQL + """ SELECT month, label, 0::BIGINT AS n_events, CASE WHEN n_episodes > 0 THEN 0.0 END AS per_100_episodes, CASE WHEN n_days > 0 THEN 0.0 END AS per_100_days
+""" + _RATE_SQL + """ SELECT month, label, 0::BIGINT AS n_events, CASE WHEN n_episodes > 0 THEN 0::DOUBLE END AS per_100_episodes, CASE WHEN n_days > 0 THEN 0::DOUBLE END AS per_100_days
 FROM spine CROSS JOIN named LEFT JOIN den USING (month)""")
 def _(f: Frames) -> DataFrame:
     """Targets that no detection names still have their series, of zeros."""
