@@ -7,7 +7,7 @@ one surrogate. Names are mapped word by word: a surname keeps its surrogate with
 names keep their gender (from the list of first names, else from the titles that the corpus gives them), Cyrillic
 surnames the ending of theirs, and all names their script and capitals. Where a name was found, its words are
 replaced in the rest of the document too, so no later mention is left. Numbers keep their length and
-separators, cards their first digit and a valid check digit, accounts their country and valid check digits, private
+separators, cards their first digit and a valid check digit (digits like a card's without one are no card and stay), accounts their country and valid check digits, private
 IP addresses their range, e-mails their shape and top-level domain, secrets their character classes. Not
 found: addresses of IP version 6, names in scripts other than Latin and Cyrillic, and names without a title or a
 listed first name.
@@ -45,6 +45,8 @@ FIRST_CYRILLIC = {"m": ["Иван", "Пётр", "Алексей", "Дмитри
 SYLLABLES = {"latin": ["bar", "den", "fal", "gor", "hel", "kin", "lam", "mor", "nel", "par", "ros", "sten", "tal", "ver", "wil", "zan"], "cyrillic": ["бар", "ден", "фал", "гор", "хел", "кин", "лам", "мор", "нел", "пар", "рос", "стен", "тал", "вер", "вил", "зан"]}
 #: Words that begin sentences and are no names where they stand alone.
 COMMON = ["The", "And", "But", "For", "Not", "Was", "With", "That", "This", "Der", "Die", "Das", "Und", "Ein", "Eine", "Les", "Des", "Une", "Que", "Pas", "Los", "Las", "Una", "Del", "Por", "Что", "Как", "Это"]
+#: The kind of what is found but isn't personal, and so stays.
+NUMBER = "number"
 LETTERS, DIGITS = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
 
 _NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)?"
@@ -140,6 +142,12 @@ def check_digit(head: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def valid_card(value: Column) -> Column:
+    """True for digits whose last one is the check digit of those before it; other runs of digits are no card."""
+    bare = bare_of(value)
+    return check_digit(F.substr(bare, F.lit(1), F.length(bare) - 1)) == F.substr(bare, F.length(bare))
+
+
 def account_digits(country: Column, rest: Column) -> Column:
     """The two check digits of an account number: 98 less the remainder by 97 of rest, country and 00, letters as 10 to 35."""
 
@@ -220,9 +228,13 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """From tagged rows: doc_id, h (hash of the text), pos, sub, value, kind, entity of every mention; a name gives a row for each word."""
+    """From tagged rows: doc_id, h (hash of the text), pos, sub, value, kind, entity of every mention; a name gives a row for each word.
+
+    What looks like a card but has no valid check digit keeps its place among the mentions under the kind `number`.
+    """
     found = docs.filter(F.size("__values") > 0).select("doc_id", F.xxhash64("text").alias("h"), F.col("__values").alias("values"), F.regexp_extract_all("text", F.lit(TITLED), F.lit(0)).alias("titled"))
     rows = found.distinct().select("doc_id", "h", "titled", F.posexplode("values").alias("pos", "value")).withColumn("kind", kind_of(F.col("value")))
+    rows = rows.withColumn("kind", F.when((F.col("kind") == "card") & ~valid_card(F.col("value")), NUMBER).otherwise(F.col("kind")))
     said = F.filter("titled", lambda t: t.endswith(F.col("value")))
     gender = F.lit("n")
     for g, titles in TITLES.items():
@@ -284,24 +296,30 @@ def replace(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     own = docs.drop("n_entities", "kinds", "__values")
     marked = written(tagged(own), folder, "tagged")
     found = written(one_gender(written(mentions(marked), folder, "words"), folder), folder, "mentions")
-    known = distinct_surrogates(found.select("kind", "entity").distinct(), key, folder)
-    words = found.join(known.select("kind", "entity", "surrogate"), ["kind", "entity"])
+    personal = F.col("kind") != NUMBER
+    known = distinct_surrogates(found.filter(personal).select("kind", "entity").distinct(), key, folder)
+    words = found.join(known.select("kind", "entity", "surrogate"), ["kind", "entity"], "left")
     country = F.when((F.col("kind") == "phone") & national(F.col("value")), "1").otherwise("")
     named = F.col("kind").rlike("^(first|last)-")
     new = F.when(F.col("kind").isin("card", "account", "ssn", "phone"), fill(F.col("value"), F.concat(country, "surrogate")))
-    new = new.when(named & (F.col("value") == F.upper("value")), F.upper("surrogate")).otherwise(F.col("surrogate"))
+    new = new.when(named & (F.col("value") == F.upper("value")), F.upper("surrogate")).otherwise(F.coalesce("surrogate", "value"))
     again = named & (F.length("value") >= 3) & ~F.col("value").isin(COMMON)
     words = words.withColumns({"new": new, "name": F.when(again, F.struct(F.col("value"), new.alias("new")))})
-    kind = F.when(F.col("kind").rlike("^(first|last)-"), "person").otherwise(F.col("kind"))
-    by_doc = words.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "new"))).alias("words"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"), F.array_sort(F.collect_set("name")).alias("names"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "words", "kinds", "names")
+    kind = F.when(F.col("kind").rlike("^(first|last)-"), "person").when(personal, F.col("kind"))
+    by_doc = words.groupBy("doc_id", "h").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "sub", "new"))).alias("words"),
+        F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"),
+        F.array_sort(F.collect_set("name")).alias("names"),
+        F.size(F.collect_set(F.when(personal, F.col("pos")))).cast("bigint").alias("__count"),
+    )
+    by_doc = by_doc.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "words", "kinds", "names", "__count")
     has = F.size("__values") > 0
     gaps = F.split("text", ANY, -1)
     at = lambda i: F.array_join(F.transform(F.filter("words", lambda w: w["pos"] == i), lambda w: w["new"]), " ")
     n = F.element_at("words", -1)["pos"] + 1
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(renamed(g, F.col("names")), F.when(i < n, at(i)).otherwise(F.lit("")))), "")
     hit = marked.filter(has).join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__h")))
-    hit = hit.withColumns({"text": text, "n_entities": n.cast("bigint")}).select(*own.columns, "n_entities", "kinds")
+    hit = hit.withColumns({"text": text, "n_entities": F.col("__count")}).select(*own.columns, "n_entities", "kinds")
     rest = marked.filter(~has).withColumns({"n_entities": F.lit(0).cast("bigint"), "kinds": F.lit("")})
     return hit.unionByName(rest.select(*own.columns, "n_entities", "kinds"))
 

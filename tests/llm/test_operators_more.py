@@ -95,6 +95,19 @@ def test_surrogate_formats(spark):
     assert b.startswith("+1 (") and "".join(c for c in b if c.isdigit()) == "1" + "".join(c for c in a if c.isdigit())
 
 
+def test_surrogate_card_check_digit(spark):
+    """Digits without a card's check digit stay, alone, beside personal data and between two mentions of it."""
+    no, yes = "5927243074273351", "4845168114407329"
+    texts = [f"order {no} is here", f"order {no} and card {yes} of Mr. Stone", f"{yes}, {no}, {yes}", f"{no} {no}", "order 5927-2430-7427-3351"]
+    got = replaced(spark, texts)
+    assert luhn(no) and not luhn(yes)
+    for k in (0, 3, 4):
+        assert (got[k].text, got[k].n_entities, got[k].kinds) == (texts[k], 0, "")
+    assert f"order {no} and card 4" in got[1].text and yes not in got[1].text and (got[1].n_entities, got[1].kinds) == (2, "card,person")
+    first, middle, last = got[2].text.split(", ")
+    assert first == last != yes and middle == no and not luhn(first) and (got[2].n_entities, got[2].kinds) == (2, "card")
+
+
 def test_surrogate_edges(spark):
     """Repeated rows, very long texts, clashing columns and other keys."""
     long = "word " * 60_000 + "Mr. John Smith" + " word" * 60_000
