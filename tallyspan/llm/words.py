@@ -31,9 +31,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and row of every word [^\\x20\\x09-\\x0D]+ of the rows."""
-    inside = ~WHITE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and row of every run of bytes that aren't `between` words; as set, of every [^\\x20\\x09-\\x0D]+."""
+    inside = ~between[data]
     if not len(inside):
         return (np.zeros(0, np.int64),) * 3
     edge = np.zeros(len(inside) + 1, bool)
