@@ -12,10 +12,10 @@ template and j of the block, 1 + min(|T| - i, |B| - j) words at most can be comm
 goes on only if that reaches `need` at one of its words; at the first common word it does for every true pair.
 The rest is confirmed on the whole sets. Words outside all templates can't be common, so blocks leave them out.
 
-Labels found are a property of the text alone: they are aggregated by a digest of it, on the map side first, and
-joined back by the digest, so equal texts are scanned for candidates once a task's copies allow and no hot text
-gathers anywhere. Templates are a parameter of the driver; words, counts and prefixes of them are all that is
-broadcast. Built from DataFrame functions alone.
+Each text is read once: what is written for it are its counts, its phrases and the templates' words of its blocks;
+the join works on that. Labels found are a property of the text alone: they are aggregated by a digest of it, on
+the map side first, and joined back by the digest, so no hot text gathers anywhere. Templates are a parameter of the
+driver; words, counts and prefixes of them are all that is broadcast. Built from DataFrame functions alone.
 
 Words are runs of digits, ASCII letters (A-Z lower-cased) and all characters beyond ASCII.
 
@@ -61,11 +61,14 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 Templates = list[tuple[str, str]]
+#: What a translation turns into spaces, and A-Z into a-z.
+_FROM = "".join(chr(c) for c in range(0x80) if not (chr(c).isdigit() or chr(c).islower()))
+_TO = "".join(c.lower() if c.isupper() else " " for c in _FROM)
 
 
 def plain(text: Column) -> Column:
     """The words of text, each with one space before and after; one space where there is none. Case is kept."""
-    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BETWEEN, " "))
+    words = F.trim(F.regexp_replace(text, BETWEEN, " "))
     return F.when(words == "", " ").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -73,44 +76,54 @@ def spaces(x: Column) -> Column:
     return (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("bigint")
 
 
-def scan_phrases(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word and __base (labels) to docs; goes through each text a fixed number of times.
+def words_in(block: Column) -> Column:
+    """The lower-cased words of a block: one pass that turns all else into spaces, then a split."""
+    return F.array_remove(F.split(F.translate(block, _FROM, _TO), " "), "")
+
+
+def with_phrases(rows: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """Adds n_base, first_word, last_word and __base (labels) to rows (text, n_words); only texts with a phrase are looked at twice.
 
     No phrase may overlap another or itself. The cut text tells the words before the first and behind the last place.
     """
+    anywhere = "|".join(BETWEEN.join(map(re.escape, p.split())) for p in phrases)
+    rows = rows.withColumn("__plain", F.when(F.col("text").rlike(f"(?i)(?:{anywhere})"), plain(F.col("text"))))
     pattern = F.lit(f"(?i) (?:{'|'.join(map(re.escape, phrases))})(?= )")
-    rows = docs.withColumn("__plain", plain(F.col("text")))
     rows = rows.withColumn("__found", F.regexp_extract_all("__plain", pattern, F.lit(0)))
-    some = F.size("__found") > 0
+    n_base = F.coalesce(F.size("__found"), F.lit(0)).cast("bigint")
+    rows = rows.withColumn("n_base", F.greatest(n_base, F.lit(0).cast("bigint")))
+    some = F.col("n_base") > 0
     rows = rows.withColumn("__cut", F.when(some, F.split("__plain", pattern)))
     last = F.element_at("__cut", -1)
-    n_words = spaces(F.col("__plain")) - 1
     there = F.array_distinct(F.transform("__found", F.lower))
     labels = F.array_compact(F.array(*[F.when(F.array_contains(there, f" {p}"), label) for p, label in phrases.items()]))
     facts = {
-        "n_words": n_words,
-        "n_base": F.size("__found").cast("bigint"),
         "first_word": F.when(some, spaces(F.element_at("__cut", 1))),
-        "last_word": F.when(some, n_words - (spaces(last) - 1) - spaces(F.element_at("__found", -1))),
+        "last_word": F.when(some, F.col("n_words") - (spaces(last) - 1) - spaces(F.element_at("__found", -1))),
         "__base": F.when(some, labels).otherwise(F.array().cast("array<string>")),
     }
     return rows.withColumns(facts).drop("__plain", "__found", "__cut")
 
 
-def blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """digest (of the text), words (distinct, lower-cased) of every block."""
-    rows = docs.filter("text IS NOT NULL").select(F.md5("text").alias("digest"), F.explode(F.split("text", BLOCK_END)).alias("block"))
-    words = F.split(F.trim(F.regexp_replace("block", BETWEEN, " ")), " ")
-    rows = rows.select("digest", words.alias("words"))
-    starts = F.when(F.size("words") <= window, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("words") - window // 2 - 1, F.lit(window // 2)))
-    rows = rows.select("digest", "words", F.explode(starts).alias("start"))
-    return rows.select("digest", F.slice("words", F.col("start") + 1, window).alias("words"))
+def facts_of(docs: DataFrame, sets: list[tuple[str, list[str]]], percent: int, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, __base, __key (digest of the text) and __held for every row; each text is read once.
+
+    __held: of every block the distinct words that any template has, where these are as many as the template of
+    the fewest words needs (the length filter that holds for all templates).
+    """
+    known, fewest = sorted({w for _, words in sets for w in words}), min((need(len(words), percent) for _, words in sets), default=1)
+    rows = docs.select("doc_id", "text", F.transform(F.split(F.coalesce("text", F.lit("")), BLOCK_END), words_in).alias("__blocks"))
+    n_words = F.aggregate("__blocks", F.lit(0).cast("bigint"), lambda n, b: n + F.size(b))
+    starts = lambda b: F.sequence(F.lit(0), F.size(b) - window // 2 - 1, F.lit(window // 2))
+    windows = F.flatten(F.transform("__blocks", lambda b: F.when(F.size(b) <= window, F.array(b)).otherwise(F.transform(starts(b), lambda at: F.slice(b, at + 1, window)))))
+    held = F.transform(windows, lambda b: F.array_distinct(F.filter(b, lambda w: w.isin(known))))
+    held = F.filter(held, lambda h: F.size(h) >= max(fewest, 1))
+    rows = rows.select("doc_id", "text", n_words.alias("n_words"), F.md5("text").alias("__key"), held.alias("__held"))
+    return with_phrases(rows).drop("text")
 
 
-def lower_ascii(word: Column) -> Column:
-    """The lower-cased word; the word itself where lowering changes its bytes' number, as for letters beyond ASCII that become ASCII ones."""
-    low = F.lower(word)
-    return F.when(F.octet_length(low) == F.octet_length(word), low).otherwise(word)
+def need(size: int, percent: int) -> int:
+    return math.ceil(percent * size / 100)
 
 
 def words_of(template: str) -> list[str]:
@@ -122,46 +135,39 @@ def constants(spark: SparkSession, rows: list[Column]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def find_templates(docs: DataFrame, templates: Templates = TEMPLATES, percent: int = PERCENT, window: int = WINDOW) -> DataFrame:
+def find_templates(facts: DataFrame, sets: list[tuple[str, list[str]]], percent: int) -> DataFrame:
     """digest, label, score: the largest containment of a template of that label in a block of the text, where it reaches `percent`."""
-    spark, sets = docs.sparkSession, [(label, words_of(text)) for label, text in templates]
-    known = sorted({w for _, words in sets for w in words})
-    word = lower_ascii(F.col("word"))
-    split = blocks(docs, window)
-    # Pass 1: how often every word of a template occurs; at most one row a word reaches the driver.
-    counted = split.select(F.explode("words").alias("word")).select(word.alias("word")).filter(F.col("word").isin(known)).groupBy("word").count()
-    often = {r.word: r["count"] for r in counted.collect()}
-    order = sorted(known, key=lambda w: (often.get(w, 0), w))
+    spark, blocks = facts.sparkSession, facts.select(F.col("__key").alias("digest"), F.explode("__held").alias("words"))
+    # How often every word of a template occurs in these blocks; at most one row a word reaches the driver.
+    often = {r.word: r["count"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()}
+    order = sorted({w for _, words in sets for w in words}, key=lambda w: (often.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     prefixes = []
     for number, (label, words) in enumerate(sets):
-        own, need = sorted(words, key=rank.__getitem__), math.ceil(percent * len(words) / 100)
-        for i, w in enumerate(own[: len(own) - need + 1] if own else [], 1):
-            prefixes.append(F.struct(F.lit(w).alias("key"), F.lit(number).alias("template"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(need).alias("need"), F.array(*map(F.lit, own)).alias("own")))
+        own, least = sorted(words, key=rank.__getitem__), need(len(words), percent)
+        for i, w in enumerate(own[: len(own) - least + 1] if own else [], 1):
+            prefixes.append(F.struct(F.lit(w).alias("key"), F.lit(number).alias("template"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(least).alias("need"), F.array(*map(F.lit, own)).alias("own")))
     if not prefixes:
-        return docs.select(F.md5("text").alias("digest"), F.lit("").alias("label"), F.lit(0.0).alias("score")).limit(0)
-    # Pass 2: blocks meet templates at the prefixes' words.
-    met = split.select("digest", "words", F.explode("words").alias("word")).select("digest", "words", word.alias("key"))
-    met = met.join(F.broadcast(constants(spark, prefixes)), "key")
-    held = F.array_intersect(F.array(*map(F.lit, order)), F.transform("words", lower_ascii))
-    met = met.withColumn("held", held).filter(F.size("held") >= F.col("need"))
+        return facts.select(F.col("__key").alias("digest"), F.lit("").alias("label"), F.lit(0.0).alias("score")).limit(0)
+    met = blocks.select("digest", "words", F.explode("words").alias("key")).join(F.broadcast(constants(spark, prefixes)), "key")
+    met = met.filter(F.size("words") >= F.col("need"))
+    met = met.withColumn("held", F.array_intersect(F.array(*map(F.lit, order)), F.col("words")))
     left = F.least(F.size("own") - F.col("i"), F.size("held") - F.array_position("held", F.col("key")))
     met = met.filter(1 + left >= F.col("need"))
-    common = F.size(F.array_intersect("held", "own"))
-    met = met.withColumn("common", common).filter(F.col("common") >= F.col("need"))
+    met = met.withColumn("common", F.size(F.array_intersect("held", "own"))).filter(F.col("common") >= F.col("need"))
     return met.groupBy("digest", "label").agg(F.max(F.col("common") / F.size("own")).alias("score"))
 
 
 def scan(docs: DataFrame, templates: Templates = TEMPLATES, percent: int = PERCENT, window: int = WINDOW, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    found = find_templates(docs, templates, percent, window)
+    folder, sets = shared_folder(docs.sparkSession), [(label, words_of(text)) for label, text in templates]
+    facts = written(facts_of(docs, sets, percent, window), folder, "facts")
+    found = find_templates(facts, sets, percent)
     found = found.groupBy("digest").agg(F.collect_set("label").alias("__own"), F.max("score").alias("__score"))
-    found = written(found.withColumnRenamed("digest", "__digest"), shared_folder(docs.sparkSession), "licensed")
+    found = written(found, folder, "licensed")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
-    rows = scan_phrases(docs).withColumn("__key", F.md5("text")).drop("text")
-    rows = rows.join(found, F.col("__key") == F.col("__digest"), "left")
+    rows = facts.drop("__held").join(found, F.col("__key") == F.col("digest"), "left")
     own = F.coalesce("__own", F.array().cast("array<string>"))
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.round("__score", 6), F.lit(0.0)))
