@@ -63,6 +63,16 @@ def top_within(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def ranked_within(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Every row with its rank in its group and n_in_group, the number of rows of the group."""
+    return df.withColumns({"rank": F.row_number().over(Window.partitionBy(group).orderBy(*order)), "n_in_group": F.count(F.lit(1)).over(Window.partitionBy(group))})
+
+
+def at_least(df: DataFrame, n: str, least: int) -> DataFrame:
+    """Rows whose count reaches the least that may be shown; null counts don't."""
+    return df.filter(F.col(n) >= least)
+
+
 def with_share(df: DataFrame, group: str, n: str = "n_events") -> DataFrame:
     """share of n in its group's total."""
     return df.withColumn("share", F.try_divide(F.col(n).cast("double"), F.sum(n).over(Window.partitionBy(group))))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import any_true, composite_id, hours_between, month_of, negative_name, norm_text, of_method, positive_flag, stay_day
+from ..functions.taxonomy import CLASS_CODES
 from ..operators.intervals import attach_points, fill_open_end, merge_intervals
 from ..sources.store import stored
 
@@ -98,6 +99,41 @@ def hourly_binding(spark: SparkSession, d: str) -> Frames:
     return Frames(events.select("subject", "encounter").distinct(), fill_open_end(stays), points)
 
 
+def skewed_binding(spark: SparkSession, d: str) -> Frames:
+    """The monthly binding with a third of all customers as one encounter, and stays of hours instead of days."""
+    f = monthly_binding(spark, d)
+    hot = F.col("encounter").cast("bigint") % 3 == 0
+    as_one = lambda df: df.withColumns({c: F.when(hot, "all").otherwise(F.col(c)) for c in ("subject", "encounter")})
+    short = F.timestamp_add("MICROSECOND", F.floor(F.timestamp_diff("MICROSECOND", F.col("t_in"), F.col("t_out")) / 24), F.col("t_in"))
+    return Frames(f.encounters, as_one(f.stays.withColumn("t_out", short)), as_one(f.points))
+
+
+def _pick(values: list[str], place: Column) -> Column:
+    """The value at a place (from 0), which goes round."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(place, F.lit(len(values))) + 1).cast("int"))
+
+
+#: Names beyond the codes of the taxonomy, as laboratories write them.
+FREE_NAMES = [
+    "staphylococcus_aureus", "methicillin resistant staphylococcus aureus", "staph aureus (mrsa)", "coagulase negative staphylococcus", "enterococcus_faecium", "vancomycin-resistant enterococcus", "vre screen",
+    "escherichia coli", "e. coli esbl", "klebsiella_pneumoniae", "carbapenem resistant klebsiella", "kpc carrier", "pseudomonas_aeruginosa", "candida_auris", "clostridioides difficile", "acid fast bacilli", "mixed flora",
+    "gram positive cocci", "no growth at 5 days", "none isolated", "not isolated", "no pathogen detected", "negative for yeast", "unidentified", "",
+]
+SPECIMENS = ["blood culture", "blood - peripheral line", "urine clean catch", "sputum expectorated", "bronchoalveolar lavage", "bronch wash", "deep wound swab", "stool sample", "csf", "pleural fluid"]
+DRUGS = ["oxacillin", "vancomycin", "meropenem", "cefazolin", "ertapenem 10 mcg", "gentamicin", "cefoxitin screen"]
+NAMES = [code for codes in CLASS_CODES.values() for code in codes] + FREE_NAMES
+
+
+def named_binding(spark: SparkSession, d: str) -> Frames:
+    """The monthly binding with names of real organisms, specimens and drugs, dealt by the number of the part."""
+    f = monthly_binding(spark, d)
+    number = F.col("organism_id").cast("bigint")
+    code = _pick(NAMES, number)
+    group = F.when(code.isin("no_growth", ""), code)
+    points = f.points.withColumns({"organism_category": code, "organism_name": F.when(number % 5 == 0, "").otherwise(F.translate(code, "_", " ")), "organism_group": group, "type": _pick(SPECIMENS, F.floor(number / 7)), "drug": _pick(DRUGS, F.floor(number / 3) + F.length("sir") + F.month("t"))})
+    return Frames(f.encounters, f.stays, points.withColumn("positive", positive_flag(F.col("organism_group"), F.col("organism_category"), blank_is_missing=True)))
+
+
 _EPISODES = """
 flag AS (SELECT *, CASE WHEN t_in <= max(t_out) OVER (PARTITION BY encounter ORDER BY t_in, t_out ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM stays),
 num AS (SELECT *, sum(fresh) OVER (PARTITION BY encounter ORDER BY t_in, t_out ROWS UNBOUNDED PRECEDING) AS seq FROM flag),
@@ -123,3 +159,30 @@ HOURLY_SQL = (
 points AS (SELECT CAST(user_id % 200 AS VARCHAR) AS subject, CAST(user_id AS VARCHAR) AS encounter, ts AS t, event_type AS type, event_type AS name, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_name, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_category, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 12 AS VARCHAR) AS organism_group, value > 50 AS positive FROM events WHERE event_type <> 'signup'),"""
     + _EPISODES
 )
+
+
+def _over_monthly(stays: str, points: str) -> str:
+    """The monthly binding with stays and points made from stays0 and points0."""
+    head = MONTHLY_SQL.removesuffix(_EPISODES).replace("\nstays AS", "\nstays0 AS").replace("\npoints AS", "\npoints0 AS")
+    return f"{head}\nstays AS ({stays}),\npoints AS ({points}),{_EPISODES}"
+
+
+_AS_ONE = "CASE WHEN CAST(encounter AS BIGINT) % 3 = 0 THEN 'all' ELSE {c} END AS {c}"
+_ONE = ", ".join(_AS_ONE.format(c=c) for c in ("subject", "encounter"))
+SKEWED_SQL = _over_monthly(
+    f"SELECT * REPLACE ({_ONE}, t_in + to_microseconds(date_diff('microsecond', t_in, t_out) // 24) AS t_out) FROM stays0",
+    f"SELECT * REPLACE ({_ONE}) FROM points0",
+)
+
+
+def _picked(values: list[str], place: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][1 + CAST({place} AS BIGINT) % {len(values)}]"
+
+
+_NUMBER = "CAST(organism_id AS BIGINT)"
+NAMED_SQL = _over_monthly(
+    "SELECT * FROM stays0",
+    f"""SELECT * REPLACE (coalesce(nullif(organism_group, ''), nullif(organism_category, '')) IS NOT NULL AND coalesce(nullif(organism_group, ''), nullif(organism_category, '')) NOT IN ('no_growth', 'no growth') AS positive) FROM (
+    SELECT * EXCLUDE (code) REPLACE (code AS organism_category, CASE WHEN {_NUMBER} % 5 = 0 THEN '' ELSE replace(code, '_', ' ') END AS organism_name, CASE WHEN code IN ('no_growth', '') THEN code END AS organism_group,
+      {_picked(SPECIMENS, f"{_NUMBER} // 7")} AS type, {_picked(DRUGS, f"{_NUMBER} // 3 + length(sir) + month(t)")} AS drug) FROM (SELECT *, {_picked(NAMES, _NUMBER)} AS code FROM points0))""",
+)

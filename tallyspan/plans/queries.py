@@ -12,13 +12,16 @@ from ..functions.taxonomy import classify, pattern_group, phenotype, tag_targets
 from ..operators import calendar as cal
 from ..operators.intervals import allocate_exposure, at_risk, clip
 from ..operators.quantiles import quantiles
+from ..operators.skew import attach_points_binned, merge_intervals_segmented
 from ..operators.trend import trend_screen
 from ..sources.store import stored
-from .frames import HOURLY_SQL, MONTHLY_SQL, STUDY, Frames, hourly_binding, monthly_binding
+from .frames import HOURLY_SQL, MONTHLY_SQL, NAMED_SQL, SKEWED_SQL, STUDY, Frames, hourly_binding, monthly_binding, named_binding, skewed_binding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The SQL that defines the frames of each binding.
+PREFIXES = {monthly_binding: MONTHLY_SQL, hourly_binding: HOURLY_SQL, skewed_binding: SKEWED_SQL, named_binding: NAMED_SQL}
 PANELS = ["1-urgent", "2-high", "3-medium"]
 #: Targets and phenotypes over the names of the bound tables.
 TARGETS = [("Ring", r"\bring\b"), ("Bolt", "bolt"), ("Screw", "screw"), ("Metal", "steel|brass|copper|tin|nickel")]
@@ -29,7 +32,7 @@ HOURS, DAYS, TOP = 168, 14, 5
 
 def register(name: str, frames: Callable[[SparkSession, str], Frames], sql: str | None = None) -> Callable:
     """Registers a function of Frames as a query; sql follows the binding's prefix."""
-    prefix = MONTHLY_SQL if frames is monthly_binding else HOURLY_SQL
+    prefix = PREFIXES[frames]
 
     def add(build: Callable[[Frames], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, d: dates_as_timestamps(build(frames(spark, d)))
@@ -66,6 +69,22 @@ def _(f: Frames) -> DataFrame:
     return f.attached_stays.select(*_ATTACHED.split(", "))
 
 
+#: Rows of a key from which on it counts as hot; low, so that the small tables have a hot key too.
+HOT = 2000
+
+
+@register("merge_intervals_hot", skewed_binding, "z AS (SELECT 1) SELECT encounter, seq, t_in, t_out, any_open_end, n_intervals FROM episodes")
+def _(f: Frames) -> DataFrame:
+    """Episodes where one encounter holds a third of all stays: merged by segments of time."""
+    return merge_intervals_segmented(f.stays, most=HOT).select("encounter", "seq", "t_in", "t_out", "any_open_end", "n_intervals")
+
+
+@register("attach_points_hot", skewed_binding, "z AS (SELECT 1) SELECT p.encounter, p.t, p.type, p.organism_id, s.t_in, s.t_out FROM points p JOIN stays s ON p.encounter = s.encounter AND p.t BETWEEN s.t_in AND s.t_out")
+def _(f: Frames) -> DataFrame:
+    """Points in unmerged stays where one encounter holds a third of both: every pair in one cell of one time bin."""
+    return attach_points_binned(f.points, f.stays.select("subject", "encounter", "t_in", "t_out"), most=HOT).select(*_ATTACHED.split(", "))
+
+
 @register("events_full_key", monthly_binding, "z AS (SELECT 1) SELECT encounter, seq, t, type, name, n_rows, any_positive, organism_groups, month, round(hours, 6) AS hours, day FROM events_")
 def _(f: Frames) -> DataFrame:
     return f.events.select("encounter", "seq", "t", "type", "name", "n_rows", "any_positive", "organism_groups", "month", F.round("hours", 6).alias("hours"), "day")

@@ -44,10 +44,10 @@ def read_table(spark: SparkSession, root: str, name: str, kind: str = "parquet",
     return snake_case(spark.read.parquet(path))
 
 
-def optional_table(spark: SparkSession, root: str, name: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
-    """The table, or an empty one of that schema where it is missing."""
+def optional_table(spark: SparkSession, root: str, name: str, schema: T.StructType, kind: str = "parquet", aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """The table, its columns by their aliases, or an empty one of that schema where it is missing."""
     try:
-        return conform(read_table(spark, root, name, kind), schema)
+        return conform(read_table(spark, root, name, kind), schema, aliases)
     except FileNotFoundError:
         return spark.createDataFrame([], schema)
 
