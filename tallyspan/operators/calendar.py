@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def month_spine(*months: DataFrame) -> DataFrame:
     """All months between the first and the last of the given month columns: one aggregate, no collect."""
@@ -97,6 +99,21 @@ def with_level(df: DataFrame, label: str, n: str, last: str = "Other") -> DataFr
     return df.join(F.broadcast(levels_), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
+def with_place(df: DataFrame, *order: Column) -> DataFrame:
+    """place: the number of each row in the given order, from 1; the order should decide every tie.
+
+    Rows are dealt into ranges and sorted in each; a row's place is its number in its range and the rows of all
+    ranges before. One row a range is all that meets in one task.
+    """
+    number = F.monotonically_increasing_id()
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(number, 33).alias("_range"), number.bitwiseAND((1 << 33) - 1).alias("_number")))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a range, as many as there are shuffle partitions.
+    out = ranged.join(F.broadcast(sizes.select("_range", earlier.alias("_before"))), "_range")
+    return out.withColumn("place", F.col("_before") + F.col("_number") + 1).drop("_range", "_number", "_before")
+
+
 def unmapped(df: DataFrame, label: str, known: list[str]) -> DataFrame:
     """The labels of df that a mapping does not name, each once."""
     return df.select(label).distinct().join(F.broadcast(levels(df, label, known)), label, "left_anti")

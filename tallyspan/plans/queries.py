@@ -11,6 +11,7 @@ from ..functions.normalize import days_between, fold, in_window, month_of, n_dis
 from ..functions.taxonomy import classify, pattern_group, phenotype, tag_targets
 from ..operators import calendar as cal
 from ..operators.intervals import allocate_exposure, at_risk, clip
+from ..operators.nested import nested_counts
 from ..operators.quantiles import quantiles
 from ..operators.skew import attach_points_binned, merge_intervals_segmented
 from ..operators.trend import trend_screen
@@ -204,13 +205,9 @@ _TOP = _TOP_TYPES + ", lumped AS (SELECT e.* EXCLUDE (type), coalesce(top.type,
 
 def event_counts(df: DataFrame, *keys: str) -> DataFrame:
     """Events, positive events, and the episodes, encounters and subjects that have one."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_if("any_positive").alias("n_positive"),
-        n_distinct("encounter", "seq").alias("n_episodes_with"),
-        n_distinct("encounter").alias("n_encounters"),
-        n_distinct("subject").alias("n_subjects"),
-    )
+    levels = {"n_subjects": ["subject"], "n_encounters": ["encounter"], "n_episodes_with": ["seq"]}
+    counts = nested_counts(df, list(keys), levels, {"n_events": F.lit(1), "n_positive": F.coalesce(F.col("any_positive"), F.lit(False))})
+    return counts.select(*keys, *MEASURES)
 
 
 MEASURES = ["n_events", "n_positive", "n_episodes_with", "n_encounters", "n_subjects"]
@@ -268,7 +265,7 @@ SELECT month, type, level, n_events, CAST(row_number() OVER (ORDER BY month, lev
 def _(f: Frames) -> DataFrame:
     """Display order: months, in each the types by their totals with Other last; a report of months x types rows."""
     out = cal.with_level(filled(event_counts(by_type(f), "month", "type"), "type"), "type", "n_events")
-    return out.select("month", "type", "level", "n_events", F.row_number().over(Window.orderBy("month", "level")).alias("place")).orderBy("month", "level")
+    return cal.with_place(out.select("month", "type", "level", "n_events"), F.asc("month"), F.asc("level")).withColumn("place", F.col("place").cast("int"))
 
 
 @register("unmapped_labels", monthly_binding, "z AS (SELECT 1) SELECT DISTINCT type FROM points WHERE type NOT IN ('1-urgent', '2-high', '3-medium')")
@@ -458,9 +455,8 @@ _CLASS = """CASE WHEN regexp_matches({x}, 'small|mini') THEN 'Small' WHEN regexp
 
 def detected(df: DataFrame, *keys: str) -> DataFrame:
     """Detection rows, events, encounters and subjects by keys, with the class of the organism."""
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), n_distinct("event_id").alias("n_events"), n_distinct("encounter").alias("n_encounters"), n_distinct("subject").alias("n_subjects")
-    )
+    levels = {"n_subjects": ["subject"], "n_encounters": ["encounter"], "n_events": ["event_id"]}
+    counts = nested_counts(df, list(keys), levels, {"n_rows": F.lit(1)})
     return counts.withColumn("class", classify(F.col("organism"), rules=CLASS_RULES))
 
 

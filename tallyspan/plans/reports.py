@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import display_label, month_of, norm_sir, norm_ts, try_cast
-from ..sources.io import conform, export_manifest, latest_run, optional_table, privacy_violations, read_table, write_aggregate, write_private
-from ..sources.store import shared_folder
+from ..operators.pooled import rate_ratios
+from ..sources.io import conform, export_manifest, latest_run, optional_table, privacy_violations, read_sites, read_table, write_aggregate, write_private, write_sorted
+from ..sources.store import shared_folder, stored
 from .frames import Frames, monthly_binding
 from .queries import register
 
@@ -93,3 +94,67 @@ def _(f: Frames) -> DataFrame:
     raw = f.points.select(text.alias("t"), F.translate("type", "-", "_").alias("type"), F.col("positive").cast("string").alias("positive"))
     clean = raw.select(month_of(norm_ts(F.col("t"), "string")).alias("month"), display_label(F.col("type")).alias("label"), try_cast(F.col("positive"), "boolean").alias("positive"))
     return clean.groupBy("month", "label", "positive").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("repeated_export", monthly_binding, """z AS (SELECT 1)
+SELECT site_name, run_ts, type, count(*) AS n_rows FROM (
+  SELECT 'site-a' AS site_name, '2026-01-01T00-00' AS run_ts, type FROM points WHERE name = 'f' UNION ALL SELECT 'site-a', '2026-02-01T00-00', type FROM points
+  UNION ALL SELECT 'site-b', '2026-01-01T00-00', type FROM points WHERE name = 'o') GROUP BY ALL""")
+def _(f: Frames) -> DataFrame:
+    """Of two attempts at one site's run the later one stands; other sites and runs stay as they are."""
+    spark, path = f.points.sparkSession, f"{shared_folder(f.points.sparkSession)}/export"
+    later = "2026-02-01T00-00"
+    for rows, site, run in ((f.points, SITE, later), (f.points.filter("name = 'o'"), "site-b", RUN), (f.points, SITE, RUN), (f.points.filter("name = 'f'"), SITE, RUN)):
+        write_aggregate(rows.groupBy("type").agg(F.count(F.lit(1)).alias("n_rows")), path, site, run)
+    return spark.read.parquet(path).select("site_name", "run_ts", "type", "n_rows")
+
+
+_SITE = "CAST(CAST(encounter AS BIGINT) % 3 AS VARCHAR)"
+
+
+@register("site_rate_ratios", monthly_binding, f"""e AS (SELECT {_SITE} AS site, month, count(*) AS n_events FROM events_ GROUP BY 1, 2), d AS (SELECT {_SITE} AS site, month, count(*) AS n_episodes FROM episodes GROUP BY 1, 2),
+r AS (SELECT site, month, coalesce(n_events, 0)::DOUBLE AS x, n_episodes::DOUBLE AS t FROM d LEFT JOIN e USING (site, month)),
+m AS (SELECT r.site AS site_name, count(*) AS n_strata, sum(r.x * b.t / (r.t + b.t)) AS p, sum(b.x * r.t / (r.t + b.t)) AS q, sum((r.x + b.x) * r.t * b.t / ((r.t + b.t) * (r.t + b.t))) AS v
+  FROM r JOIN r b ON b.month = r.month AND b.site = '0' WHERE r.site <> '0' GROUP BY 1)
+SELECT site_name, n_strata, round(p / q, 6) AS ratio, round(exp(ln(p / q) - 1.959963984540054 * sqrt(v / (p * q))), 6) AS low, round(exp(ln(p / q) + 1.959963984540054 * sqrt(v / (p * q))), 6) AS high FROM m""")
+def _(f: Frames) -> DataFrame:
+    """The event rate of each site against that of site 0, over months as strata, from the exports of the sites, whose columns differ."""
+    spark, path = f.points.sparkSession, f"{shared_folder(f.points.sparkSession)}/rates"
+    site = (F.col("encounter").cast("bigint") % 3).cast("string").alias("site")
+    f.once("episodes")
+    events = f.events.groupBy(site, "month").agg(F.count(F.lit(1)).alias("n_events"))
+    counts = f.frame("episodes").groupBy(site, "month").agg(F.count(F.lit(1)).alias("n_episodes")).join(events, ["site", "month"], "left")
+    counts = stored(counts.withColumn("n_events", F.coalesce("n_events", F.lit(0))))
+    for k in range(3):
+        own = counts.filter(F.col("site") == str(k)).drop("site")
+        # Site 1 exports a column more, and site 2 has its columns in another order.
+        own = [own, own.withColumn("note", F.lit("x")), own.select("n_events", "n_episodes", "month")][k]
+        write_aggregate(own, path, f"site {k}", RUN)
+    rows = read_sites(spark, path).withColumn("site_name", F.substring_index("site_name", " ", -1))
+    out = rate_ratios(rows.select(F.col("site_name").cast("string").alias("site_name"), "month", "n_events", "n_episodes"), "site_name", "0", "month", "n_events", "n_episodes")
+    return out.select("site_name", "n_strata", *[F.round(c, 6).alias(c) for c in ("ratio", "low", "high")])
+
+
+@register("sorted_sink", monthly_binding, """c AS (SELECT t, type, count(*) AS n_rows FROM points GROUP BY 1, 2)
+SELECT t, type, n_rows, CAST(row_number() OVER (ORDER BY t DESC, type) AS BIGINT) AS place FROM c""")
+def _(f: Frames) -> DataFrame:
+    """Rows written in order over several files; the place of each is told by the order of files and of rows in them."""
+    spark, path = f.points.sparkSession, f"{shared_folder(f.points.sparkSession)}/sorted"
+    write_sorted(f.points.groupBy("t", "type").agg(F.count(F.lit(1)).alias("n_rows")), path, F.desc("t"), F.asc("type"), files=4)
+    back = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    files = back.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    # One row a file.
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = back.join(F.broadcast(files.select("file", earlier.alias("before"))), "file")
+    return out.select("t", "type", "n_rows", (F.col("before") + F.col("at") + 1).alias("place"))
+
+
+@register("private_columns", monthly_binding, """z AS (SELECT count(*) AS n FROM points WHERE name = 'f'), y AS (SELECT count(*) AS n FROM points WHERE name = 'no such name')
+SELECT 'row_level' AS dataset, 'organism_id' AS column FROM z WHERE n > 0 UNION ALL SELECT 'row_level', 'collect_dttm' FROM z WHERE n > 0 UNION ALL SELECT 'row_level', 'patient_id' FROM y WHERE n > 0""")
+def _(f: Frames) -> DataFrame:
+    """The audit of columns that hold something: which names are forbidden follows from what the export's rows hold."""
+    spark, root = f.points.sparkSession, shared_folder(f.points.sparkSession)
+    rows = f.points.select(F.when(F.col("name") == "no such name", F.col("subject")).alias("patient_id"), F.when(F.col("name") == "f", F.col("organism_id")).alias("organism_id"), F.when(F.col("name") == "f", F.col("t")).alias("collect_dttm"), "type")
+    held = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
+    write_private(rows.select(*[c for c in rows.columns if held[c]]), f"{root}/row_level", RUN)
+    return privacy_violations(export_manifest(spark, root, {"row_level": "parquet"}, SITE))

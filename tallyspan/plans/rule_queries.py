@@ -85,7 +85,7 @@ x AS (SELECT DISTINCT lpad(CAST(CAST(organism_id AS BIGINT) * 7919 % 1000000 AS
 m AS (SELECT organism_id, min(place) AS place FROM x JOIN p ON contains(code, pattern) GROUP BY 1)
 SELECT p."group" AS code_group, m.place, count(*) AS n_rows FROM points LEFT JOIN m USING (organism_id) LEFT JOIN p USING (place) GROUP BY 1, 2""")
 def _(f: Frames) -> DataFrame:
-    """A table of {N_PATTERNS} patterns of two and three characters; the first by its place counts."""
+    """A table of three hundred patterns of two and three characters; the first by its place counts."""
     i = F.col("id")
     code = (i * 37 % 1000).cast("string")
     pattern = F.when(i % 10 == 0, F.lpad(code, 2, "0")).otherwise(F.lpad(code, 3, "0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,15 +66,18 @@ def conform(df: DataFrame, schema: T.StructType, aliases: dict[str, list[str]] |
 
 
 def write_aggregate(df: DataFrame, path: str, site: str, run: str, kind: str = "parquet", setting: str = "ICU") -> None:
-    """Append an aggregate, stamped with its care setting, under site_name and run_ts."""
+    """An aggregate, stamped with its care setting, under site_name and run_ts. A run that is repeated replaces its own rows, and no others.
+
+    Spark writes to a staging folder and moves the partitions of this site and run into place when all tasks are done.
+    """
     stamped = df.withColumns({"care_setting": F.lit(setting), "site_name": F.lit(site), "run_ts": F.lit(run)})
-    stamped.write.mode("append").option("header", True).partitionBy("site_name", "run_ts").format(kind).save(path)
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("site_name", "run_ts").format(kind).save(path)
 
 
 def write_private(df: DataFrame, path: str, run: str, enabled: bool = True) -> None:
-    """Row-level output under its own root, off by a flag."""
+    """Row-level output under its own root, off by a flag. A run that is repeated replaces its own rows."""
     if enabled:
-        df.withColumn("run_ts", F.lit(run)).write.mode("append").partitionBy("run_ts").parquet(path)
+        df.withColumn("run_ts", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(path)
 
 
 def latest_run(df: DataFrame) -> DataFrame:
@@ -83,24 +86,52 @@ def latest_run(df: DataFrame) -> DataFrame:
     return df.filter(F.col("run_ts") == newest)
 
 
-def folder_size(spark: SparkSession, path: str) -> int:
-    """Bytes of all files under path."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+def write_sorted(df: DataFrame, path: str, *order: Column, kind: str = "parquet", files: int | None = None) -> None:
+    """df in the given order, over several files: rows are in order in each, and the files by their names."""
+    ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.option("header", True).format(kind).save(path)
 
 
-def export_manifest(spark: SparkSession, root: str, datasets: dict[str, str], site: str, setting: str = "ICU") -> DataFrame:
-    """For each dataset (path under root: csv or parquet): site_name, care_setting, dataset, size_bytes, rows, n_columns, columns (joined by `; `), created_at."""
-    out = None
-    for path, kind in sorted(datasets.items()):
-        full = f"{root}/{path}"
-        df = spark.read.option("header", True).csv(full) if kind == "csv" else spark.read.parquet(full)
-        facts = {"site_name": site, "care_setting": setting, "dataset": path, "size_bytes": folder_size(spark, full), "n_columns": len(df.columns), "columns": "; ".join(df.columns)}
-        row = df.agg(F.count(F.lit(1)).alias("rows")).withColumns({k: F.lit(v) for k, v in facts.items()}).withColumn("created_at", F.current_timestamp())
-        out = row if out is None else out.unionByName(row)
+def read_sites(spark: SparkSession, path: str) -> DataFrame:
+    """The exports of all sites and runs under path; a column that some sites lack is null in their rows."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def dataset_of(path: Column, datasets: list[str]) -> Column:
+    """Which of the datasets (paths under the root) a file belongs to; the longest counts where one lies in another."""
+    out = F.lit(None).cast("string")
+    for d in sorted(datasets, key=len):
+        out = F.when(F.contains(path, F.lit(f"/{d}/")) | F.endswith(path, F.lit(f"/{d}")), d).otherwise(out)
     return out
 
 
+def export_manifest(spark: SparkSession, root: str, datasets: dict[str, str], site: str, setting: str = "ICU") -> DataFrame:
+    """For each dataset (path under root: csv or parquet): site_name, care_setting, dataset, size_bytes, rows, n_columns, columns (joined by `; `), created_at.
+
+    Sizes and times come from the listing of all files in one pass, rows of all Parquet datasets from one scan
+    that reads no column, thus their footers alone, and rows of all CSV datasets from one scan. created_at is the
+    time of the newest file.
+    """
+    names, path = list(datasets), F.col("_metadata.file_path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = listed.select(dataset_of(F.col("path"), names).alias("dataset"), "length", "modificationTime")
+    sizes = files.filter("dataset IS NOT NULL").groupBy("dataset").agg(F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("created_at"))
+    rows, facts = None, []
+    for kind in sorted(set(datasets.values())):
+        own = [f"{root}/{d}" for d, k in datasets.items() if k == kind]
+        reader = spark.read.option("recursiveFileLookup", True)
+        found = reader.option("header", True).schema("_first string").csv(own) if kind == "csv" else reader.schema(T.StructType()).parquet(*own)
+        counted = found.groupBy(dataset_of(path, names).alias("dataset")).agg(F.count(F.lit(1)).alias("rows"))
+        rows = counted if rows is None else rows.unionByName(counted)
+    for d, kind in sorted(datasets.items()):
+        columns = (spark.read.option("header", True).csv(f"{root}/{d}") if kind == "csv" else spark.read.parquet(f"{root}/{d}")).columns
+        facts.append(F.struct(F.lit(d).alias("dataset"), F.lit(len(columns)).alias("n_columns"), F.lit("; ".join(columns)).alias("columns")))
+    known = spark.range(1).select(F.inline(F.array(*facts)))
+    out = known.join(sizes, "dataset", "left").join(rows, "dataset", "left")
+    stamps = {"site_name": F.lit(site), "care_setting": F.lit(setting), "rows": F.coalesce("rows", F.lit(0))}
+    return out.withColumns(stamps).select("site_name", "care_setting", "dataset", "size_bytes", "rows", "n_columns", "columns", "created_at")
+
+
 def privacy_violations(manifest: DataFrame, identifiers: list[str] = IDENTIFIERS) -> DataFrame:
     """dataset, column of every listed name or name that ends in _datetime."""
     rows = manifest.select("dataset", F.explode(F.split("columns", "; ")).alias("column"))
