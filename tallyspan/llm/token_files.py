@@ -12,7 +12,8 @@ leaves whole files only.
 Texts meet the tokenizer in pieces, cut where no match of its byte-level split crosses: at white space and
 between ASCII letters, digits and signs. The cuts of a batch are found in numpy, equal pieces are brought together by
 Arrow, and each new one is encoded once; ids of pieces are kept in a bounded memo. Strings of special tokens in a
-text are ordinary text (`special_as_text`), as a document must not be able to write an end of itself.
+text are those tokens, as for the library itself; with `special_as_text` they are ordinary text, for corpora whose
+documents must not be able to write an end of themselves. Slices of a batch with such a string go whole.
 
 Edge cases: null text counts as empty and gets the end id alone. Rows with one doc_id (or none, which
 sorts first) are ordered by the hash of their text and may spread over shards. An empty table gives an
@@ -51,7 +52,7 @@ WIDE_SPACES = [c.encode() for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str, special_as_text: bool = True) -> Tokenizer:
+def tokenizer(path: str, special_as_text: bool = False) -> Tokenizer:
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = special_as_text
     found.no_padding()
@@ -108,7 +109,7 @@ class PieceEncoder:
     token of its own. Pieces of white space go alone. The end id is piece 0 of the memo.
     """
 
-    def __init__(self, path: str, end_id: int, special_as_text: bool = True):
+    def __init__(self, path: str, end_id: int, special_as_text: bool = False):
         self.tokenizer, self.end_id = tokenizer(path, special_as_text), end_id
         self.newline = self.tokenizer.encode("\n a", add_special_tokens=False).ids[0]
         special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -242,7 +243,7 @@ class ShardReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint32)])
 
 
-def write(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = 2, width: int = 2048, rows: int = 64, special_as_text: bool = True) -> DataFrame:
+def write(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = 2, width: int = 2048, rows: int = 64, special_as_text: bool = False) -> DataFrame:
     """Write shards of docs (doc_id, text) under folder; returns the manifest.
 
     Manifest: shard, first_id, first_hash, n_docs, n_tokens, start (ids in all shards before), file.

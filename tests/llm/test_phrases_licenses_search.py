@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -174,3 +175,22 @@ def test_search_prunes(spark):
     tree, best = lexical_search.ItemTree(np.eye(width) * 1000), lexical_search.Best(np.zeros(width), 3)
     tried = lexical_search.search_chunk(np.arange(n), np.arange(n + 1), ids, gain, tree, best)
     assert tried < n * width / 20 and all(list(x) == [k, k + width, k + 2 * width] for k, x in enumerate(best.ids))
+
+
+# Departures that were mended in earlier operators
+
+
+def test_token_ids_equal_the_plain_library(spark):
+    """Strings of special tokens are those tokens, as the library takes them."""
+    from tokenizers import Tokenizer
+
+    from tallyspan.llm import token_files
+    from tallyspan.llm.common import shared_folder
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "plain", None, "x" * 5000 + "<|endoftext|>" + " y" * 5000]
+    plain, start = Tokenizer.from_file(token_files.TOKENIZER), 0
+    got = token_files.read(token_files.write(frame(spark, [(k, t, "en") for k, t in enumerate(texts)]), shared_folder(spark), width=16, rows=4))
+    for r in got.orderBy("doc_id").collect():
+        ids = [*plain.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens) == (start, len(ids)) and zlib.crc32(r.token_ids) == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
