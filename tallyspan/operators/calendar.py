@@ -94,9 +94,9 @@ def with_level(df: DataFrame, label: str, n: str, last: str = "Other") -> DataFr
     """level: the place of each label for display, by its total of n from large to small, with `last` at the end."""
     totals = df.groupBy(label).agg(F.sum(n).alias("_n"))
     order = Window.orderBy(F.coalesce(F.col(label) == last, F.lit(False)), F.desc("_n"), F.asc_nulls_last(label))
-    # One row a label; the display levels of a report.
+    # One row a label; Spark broadcasts them where they are small.
     levels_ = totals.select(F.col(label).alias("_label"), F.row_number().over(order).alias("level"))
-    return df.join(F.broadcast(levels_), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    return df.join(levels_, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def with_place(df: DataFrame, *order: Column) -> DataFrame:

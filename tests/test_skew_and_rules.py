@@ -15,7 +15,7 @@ from tallyspan.operators.rules import classify_codes, first_patterns, match_patt
 from tallyspan.operators.skew import attach_points_binned, deal, hot_sides, merge_intervals_segmented
 from tallyspan.plans.queries import QUERIES
 from tallyspan.sources.io import export_manifest, read_sites, write_aggregate, write_sorted
-from tallyspan.sources.store import shared_folder
+from tallyspan.sources.store import release, shared_folder, stored
 
 T0 = dt.datetime(2024, 1, 1)
 STAY = "subject string, encounter string, t_in timestamp_ntz, t_out timestamp_ntz, open_end boolean"
@@ -181,3 +181,11 @@ def test_ranks_with_group_sizes(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "g string, n int")
     assert sorted(map(tuple, cal.ranked_within(df, "g", F.desc("n")).collect())) == [("a", 1, 2, 2), ("a", 3, 1, 2), ("b", 2, 1, 1)]
     assert cal.at_least(df, "n", 2).count() == 2
+
+
+def test_stored_tables_are_released(spark):
+    table = stored(spark.range(3))
+    files = table.inputFiles()
+    assert table.count() == 3 and release(spark) >= 1 and release(spark) == 0
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
