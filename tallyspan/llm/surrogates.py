@@ -5,9 +5,11 @@ is found by one pattern, reduced to a canonical form (case, separators and a lea
 surrogate that depends on the key and the canonical form alone, so all mentions of one entity in the whole corpus get
 one surrogate. Names are mapped word by word: a surname keeps its surrogate with or without the first name, first
 names keep their gender (from the list of first names, else from the titles that the corpus gives them), Cyrillic
-surnames the ending of theirs, and all names their script and capitals. Where a name was found, its words are
-replaced in the rest of the document too, so no later mention is left. Numbers keep their length and
-separators, cards their first digit and a valid check digit (digits like a card's without one are no card and stay), accounts their country and valid check digits, private
+surnames the ending of theirs, and all names their script, capitals, apostrophe and hyphen. Where a name was found, its
+words are replaced in the rest of the document too, so no later mention is left; but words of `COMMON` never, and a
+word that the document also has in lower case not at the begin of a sentence, where nothing tells it from that word.
+All steps over the mentions of one text are linear in them, or look a word up among the text's names by halving.
+Numbers keep their length and separators, phone numbers their country, cards their first digit and a valid check digit (digits like a card's without one are no card and stay), accounts their country and valid check digits, private
 IP addresses their range, e-mails their shape and top-level domain, secrets their character classes. Not
 found: addresses of IP version 6, names in scripts other than Latin and Cyrillic, and names without a title or a
 listed first name.
@@ -27,6 +29,7 @@ case and may end a longer name (`TOKEN = `, `Password: `, `auth_token=`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -44,7 +47,9 @@ FIRST = {
 FIRST_CYRILLIC = {"m": ["Иван", "Пётр", "Алексей", "Дмитрий", "Сергей", "Николай", "Борис", "Олег"], "f": ["Мария", "Ольга", "Анна", "Елена", "Татьяна", "Наталья", "Ирина", "Светлана"]}
 SYLLABLES = {"latin": ["bar", "den", "fal", "gor", "hel", "kin", "lam", "mor", "nel", "par", "ros", "sten", "tal", "ver", "wil", "zan"], "cyrillic": ["бар", "ден", "фал", "гор", "хел", "кин", "лам", "мор", "нел", "пар", "рос", "стен", "тал", "вер", "вил", "зан"]}
 #: Words that begin sentences and are no names where they stand alone.
-COMMON = ["The", "And", "But", "For", "Not", "Was", "With", "That", "This", "Der", "Die", "Das", "Und", "Ein", "Eine", "Les", "Des", "Une", "Que", "Pas", "Los", "Las", "Una", "Del", "Por", "Что", "Как", "Это"]
+COMMON = ["The", "And", "But", "For", "Not", "Was", "With", "That", "This", "Der", "Die", "Das", "Und", "Ein", "Eine", "Les", "Des", "Une", "Que", "Pas", "Los", "Las", "Una", "Del", "Por", "Что", "Как", "Это", "Will", "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Januar", "Februar", "März", "Mai", "Juni", "Juli", "Oktober", "Dezember"]
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: The kind of what is found but isn't personal, and so stays.
 NUMBER = "number"
 LETTERS, DIGITS = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
@@ -64,13 +69,13 @@ PATTERNS = {
     "account": r"(?=[A-Z][A-Z][0-9])\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
-    "phone": r"(?=[0-9+( .-])(?:(?<![0-9])\+?[0-9]{0,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))",
+    "phone": r"(?=[0-9+( .-])(?:(?<![0-9])\+?[0-9]{0,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9.,/-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![0-9])|(?<![0-9.,/-])0[1-9](?:[ .][0-9]{2}){4}(?!\.?[0-9]))",
     "person": rf"(?=\p{{Lu}})(?:(?<=[ ])(?<=\b(?:{_TITLES})\.? ){_AFTER}|\b(?:(?:{_FIRST}) {_NAME}|(?:{_FIRST.upper()}) {_CAPITALS}))(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every secret holds or follows one of these, in any case.
 SECRET_MARKS = ["akia", "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xoxb", "xoxp"]
-TITLED = rf"(?=\p{{L}})\b(?:{_TITLES})\.? {_AFTER}(?!\p{{L}})"
+WORDS = r"[^\p{L}]+|\p{L}+(?:['’-]\p{L}+)*"
 PERSON = rf"^(?:{_NAME}(?: {_NAME})?|{_CAPITALS}(?: {_CAPITALS})?)$"
 
 
@@ -83,7 +88,7 @@ def kind_of(value: Column) -> Column:
 
 
 def bare_of(value: Column) -> Column:
-    return F.regexp_replace(value, r"[ .()+-]", "")
+    return F.regexp_replace(value, r"[ .()+/-]", "")
 
 
 def national(value: Column) -> Column:
@@ -93,8 +98,9 @@ def national(value: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     bare = bare_of(value)
-    phone = F.when(national(value), F.substr(bare, F.lit(2))).otherwise(bare)
-    name = F.when(value == F.upper(value), F.initcap(F.lower(value))).otherwise(value)
+    phone = F.when(national(value), F.substr(bare, F.lit(2))).when(value.startswith("+"), F.concat(F.lit("+"), bare)).otherwise(bare)
+    small = F.array_join(F.transform(F.split(F.lower(value), "(?<=['’-])"), F.initcap), "")
+    name = F.when(value == F.upper(value), small).otherwise(value)
     out = F.when(kind == "email", F.lower(value)).when(kind == "phone", phone).when(kind.isin("card", "account", "ssn"), bare)
     return out.when(kind.rlike("^(first|last)-"), name).otherwise(value)
 
@@ -187,15 +193,22 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     card = F.concat(head, check_digit(head))
     country, rest = F.substr(entity, F.lit(1), F.lit(2)), same_classes(F.substr(entity, F.lit(5)), h, F.lit(0))
     account = F.concat(country, account_digits(country, rest), rest)
-    phone = F.concat(same_classes(entity, h, F.greatest(F.length(entity) - 10, F.lit(0))), longer(DIGITS, 8))
+    code = F.length(F.regexp_extract(entity, rf"^\+(?:{CALLING_CODES}|[0-9]{{3}})", 0))
+    trunk = F.when(entity.startswith("0"), 1).otherwise(F.greatest(F.length(entity) - 10, F.lit(0)))
+    phone = F.concat(same_classes(entity, h, F.when(code > 0, code).otherwise(trunk)), longer(DIGITS, 8))
     secret = F.concat(same_classes(entity, h, F.when(entity.startswith("AKIA"), 4).otherwise(0)), longer(LETTERS, 2))
     out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", address(entity, h, attempt)).when(kind == "phone", phone).when(kind == "ssn", same_classes(entity, h, F.lit(0))).when(kind == "account", account)
     for script, lists in (("latin", FIRST), ("cyrillic", FIRST_CYRILLIC)):
         for gender, names in (lists | {"n": lists["m"] + lists["f"]}).items():
-            count = F.floor(attempt / 4).cast("int")
+            count = F.floor(attempt / 4).cast("int") + entity.contains("-").cast("int")
             first = F.array_join(F.transform(F.sequence(F.lit(0), count), lambda k: pick(names, number_at(h, k, len(names)))), "-")  # noqa: B023
             out = out.when(kind == f"first-{gender}-{script}", first)
-        last = F.initcap(drawn(SYLLABLES[script], h, F.floor(attempt / 2).cast("int") + 3))
+        own, size = SYLLABLES[script], F.floor(attempt / 2).cast("int") + 3
+        last = F.initcap(drawn(own, h, size))
+        # A name of two parts (O'Brien, McDonald, Doe-Smith) has two parts again.
+        before = F.initcap(drawn(own, h, F.lit(1), 28))
+        last = F.when(entity.contains("-"), F.concat(before, drawn(own, h, F.lit(1), 29), F.lit("-"), last)).when(entity.rlike(r"\p{Ll}\p{Lu}"), F.concat(before, last)).otherwise(last)
+        last = F.concat(F.regexp_extract(entity, r"^\p{Lu}['’]", 0), last)
         if script == "cyrillic":
             last = F.concat(last, F.when(entity.rlike("[ая]$"), "ова").otherwise("ов"))
         out = out.when(kind == f"last-{script}", last)
@@ -207,7 +220,7 @@ def fill(value: Column, bare: Column) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
     def step(a: Column, c: Column) -> Column:
-        sep = c.rlike(r"[ .()+-]") | (c == "")
+        sep = c.rlike(r"[ .()+/-]") | (c == "")
         return F.struct(F.concat(a["out"], F.when(sep, c).otherwise(F.substr(bare, a["i"], F.lit(1)))).alias("out"), (a["i"] + F.when(sep, 0).otherwise(1)).alias("i"))
 
     return F.aggregate(F.split(value, ""), start, step, lambda a: F.concat(a["out"], F.substr(bare, a["i"], F.length(bare))))
@@ -232,15 +245,15 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     What looks like a card but has no valid check digit keeps its place among the mentions under the kind `number`.
     """
-    found = docs.filter(F.size("__values") > 0).select("doc_id", F.xxhash64("text").alias("h"), F.col("__values").alias("values"), F.regexp_extract_all("text", F.lit(TITLED), F.lit(0)).alias("titled"))
-    rows = found.distinct().select("doc_id", "h", "titled", F.posexplode("values").alias("pos", "value")).withColumn("kind", kind_of(F.col("value")))
+    # What stands before a mention ends with the title, where it has one.
+    found = docs.filter(F.size("__values") > 0).select("doc_id", F.xxhash64("text").alias("h"), F.arrays_zip(F.col("__values").alias("value"), F.split("text", ANY, -1).alias("before")).alias("values"))
+    rows = found.select("doc_id", "h", F.posexplode("values").alias("pos", "found")).select("doc_id", "h", "pos", F.col("found.value").alias("value"), F.right(F.col("found.before"), F.lit(12)).alias("before"))
+    rows = rows.filter("value IS NOT NULL").dropDuplicates(["doc_id", "h", "pos"]).withColumn("kind", kind_of(F.col("value")))
     rows = rows.withColumn("kind", F.when((F.col("kind") == "card") & ~valid_card(F.col("value")), NUMBER).otherwise(F.col("kind")))
-    said = F.filter("titled", lambda t: t.endswith(F.col("value")))
     gender = F.lit("n")
     for g, titles in TITLES.items():
         if g != "n":
-            led = rf"^(?:{'|'.join(titles)})\.? "
-            gender = F.when(F.size(F.filter(said, lambda t: t.rlike(led))) > 0, g).otherwise(gender)  # noqa: B023
+            gender = F.when(F.col("before").rlike(rf"(?<!\p{{L}})(?:{'|'.join(titles)})\.? $"), g).otherwise(gender)
     words = F.when(F.col("kind") == "person", F.split("value", " ")).otherwise(F.array("value"))
     rows = rows.select("doc_id", "h", "pos", "kind", gender.alias("title"), F.size(words).alias("n"), F.posexplode(words).alias("sub", "value"))
     script = F.when(F.col("value").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
@@ -281,13 +294,49 @@ def distinct_surrogates(entities: DataFrame, key: str, folder: str, most: int =
     raise RuntimeError(f"surrogates still collide after {most} attempts")
 
 
-def renamed(text: Column, names: Column) -> Column:
-    """text with the words of names (value, new) replaced wherever they stand as whole words."""
-    joint = F.filter(names, lambda x: x["value"].rlike(r"[^\p{L}]"))
-    out = F.aggregate(joint, text, lambda acc, x: F.replace(acc, x["value"], x["new"]))
-    words = F.split(out, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)
-    one = lambda w: F.coalesce(F.get(F.filter(names, lambda x: x["value"] == w), F.lit(0))["new"], w)
-    return F.when(F.size(names) == 0, text).otherwise(F.array_join(F.transform(words, one), ""))
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is made once however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def looked_up(items: Column, field: str, key: Column) -> Column:
+    """The first of items (structs, sorted by field) whose field is key, by halving; null without one."""
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        less = F.get(items, middle)[field] < key
+        return F.struct(F.when(less, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(less, a["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(items))))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi")), step, lambda a: F.get(items, a["lo"]))
+    return held(found, lambda x: F.when(x[field] == key, x))
+
+
+def with_ordinary(names: Column, text: Column) -> Column:
+    """names (value, new; sorted) with `ordinary`: whether text also has the word in lower case."""
+    small = F.regexp_extract_all(text, F.lit(r"(?<!\p{L})\p{Ll}+(?!\p{L})"), F.lit(0))
+    both = F.array_sort(F.array_intersect(small, F.transform(names, lambda x: F.lower(x["value"]))))
+    both = F.transform(both, lambda w: F.struct(w.alias("word")))
+    return held(both, lambda b: F.transform(names, lambda x: F.struct(x["value"].alias("value"), x["new"].alias("new"), looked_up(b, "word", F.lower(x["value"])).isNotNull().alias("ordinary"))))
+
+
+def renamed(text: Column, first: Column, names: Column) -> Column:
+    """text with the words of names (value, new, ordinary; sorted) replaced wherever they stand as whole words.
+
+    Ordinary ones stay at the begin of a sentence; `first` says that text begins one. A joined word (Doe-Smith) is
+    looked up whole, then by its parts; 's is no part of a name.
+    """
+
+    def one(pair: Column) -> Column:
+        word, start = pair["word"], pair["before"].rlike(r"[.!?]\s+$|\n\s*$") | (first & ((pair["before"] == "") | pair["before"].isNull()))
+        new = lambda w: held(looked_up(names, "value", w), lambda x: F.when(~(x["ordinary"] & start), x["new"]))
+        base = F.regexp_replace(word, r"['’]s$", "")
+        parts = F.array_join(F.transform(F.split(word, "(?<=['’-])|(?=['’-])"), lambda w: F.coalesce(new(w), w)), "")
+        whole = held(base, lambda b: F.concat(new(b), F.substr(word, F.length(b) + 1)))
+        return F.when(word.rlike(r"^\p{Lu}"), F.coalesce(whole, F.when(word.rlike("['’-]"), parts), word)).otherwise(word)
+
+    pairs = held(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda w: F.slice(F.arrays_zip(w.alias("word"), F.concat(F.array(F.lit("")), w).alias("before")), F.lit(1), F.size(w)))
+    return F.when(F.size(names) == 0, text).otherwise(F.array_join(F.transform(pairs, one), ""))
 
 
 def replace(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
@@ -301,24 +350,26 @@ def replace(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     words = found.join(known.select("kind", "entity", "surrogate"), ["kind", "entity"], "left")
     country = F.when((F.col("kind") == "phone") & national(F.col("value")), "1").otherwise("")
     named = F.col("kind").rlike("^(first|last)-")
-    new = F.when(F.col("kind").isin("card", "account", "ssn", "phone"), fill(F.col("value"), F.concat(country, "surrogate")))
+    new = F.when(F.col("kind").isin("card", "account", "ssn", "phone"), fill(F.col("value"), F.concat(country, F.ltrim("surrogate", F.lit("+")))))
     new = new.when(named & (F.col("value") == F.upper("value")), F.upper("surrogate")).otherwise(F.coalesce("surrogate", "value"))
     again = named & (F.length("value") >= 3) & ~F.col("value").isin(COMMON)
-    words = words.withColumns({"new": new, "name": F.when(again, F.struct(F.col("value"), new.alias("new")))})
+    words = words.withColumns({"new": new, "name": F.when(again, F.array(F.struct(F.col("value"), new.alias("new")), F.struct(F.upper("value").alias("value"), F.upper(new).alias("new"))))})
     kind = F.when(F.col("kind").rlike("^(first|last)-"), "person").when(personal, F.col("kind"))
     by_doc = words.groupBy("doc_id", "h").agg(
         F.array_sort(F.collect_list(F.struct("pos", "sub", "new"))).alias("words"),
         F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"),
-        F.array_sort(F.collect_set("name")).alias("names"),
+        F.array_sort(F.flatten(F.collect_set("name"))).alias("names"),
         F.size(F.collect_set(F.when(personal, F.col("pos")))).cast("bigint").alias("__count"),
     )
     by_doc = by_doc.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "words", "kinds", "names", "__count")
     has = F.size("__values") > 0
-    gaps = F.split("text", ANY, -1)
-    at = lambda i: F.array_join(F.transform(F.filter("words", lambda w: w["pos"] == i), lambda w: w["new"]), " ")
-    n = F.element_at("words", -1)["pos"] + 1
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(renamed(g, F.col("names")), F.when(i < n, at(i)).otherwise(F.lit("")))), "")
     hit = marked.filter(has).join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__h")))
+    # A name has its second word right after its first.
+    after = lambda i: held(F.get("words", i + 1), lambda w: F.when(w["sub"] > 0, F.concat(F.lit(" "), w["new"])).otherwise(""))
+    placed = F.transform("words", lambda w, i: F.when(w["sub"] == 0, F.concat(w["new"], F.coalesce(after(i), F.lit("")))))
+    placed = F.filter(placed, lambda x: x.isNotNull())
+    zipped = F.arrays_zip(F.split("text", ANY, -1).alias("gap"), placed.alias("new"))
+    text = held(with_ordinary(F.col("names"), F.col("text")), lambda names: F.array_join(F.transform(zipped, lambda z, i: F.concat(renamed(z["gap"], i == 0, names), F.coalesce(z["new"], F.lit("")))), ""))
     hit = hit.withColumns({"text": text, "n_entities": F.col("__count")}).select(*own.columns, "n_entities", "kinds")
     rest = marked.filter(~has).withColumns({"n_entities": F.lit(0).cast("bigint"), "kinds": F.lit("")})
     return hit.unionByName(rest.select(*own.columns, "n_entities", "kinds"))

@@ -1,7 +1,9 @@
 """Cases that the first tests of the corpus operators leave out."""
 
 import hashlib
+import itertools
 import math
+import re
 
 import numpy as np
 import public_tokenizers
@@ -108,6 +110,41 @@ def test_surrogate_card_check_digit(spark):
     assert first == last != yes and middle == no and not luhn(first) and (got[2].n_entities, got[2].kinds) == (2, "card")
 
 
+def test_surrogate_shapes_and_ordinary_words(spark):
+    """Names keep apostrophe, hyphen and second capital, phone numbers their country; ordinary words stay."""
+    rows = [
+        "Dr. Will May will come in May. Will you? Dr. O'Brien met Jane Doe-Smith. O'Brien's car, O'BRIEN. Mr. Ronald McDonald left. Then Doe-Smith.",
+        "+49 30 1234567 and 030 1234567, 030/1234567, 06 12 34 56 78, +351 21 1234567, no phone: 0.12 345678, 12 34 56 78",
+        "Mrs. Brown wore a brown coat. Brown is warm. Then Brown left.",
+    ]
+    got = {k + 1: r.text for k, r in replaced(spark, rows).items()}
+    name = r"[A-Z][a-z]+"
+    m = re.fullmatch(rf"Dr\. {name} {name} will come in May\. Will you\? Dr\. (O'{name}) met {name} ({name}-{name})\. (O'{name})'s car, (O'[A-Z]+)\. Mr\. {name} [A-Z][a-z]+[A-Z][a-z]+ left\. Then ({name}-{name})\.", got[1])
+    assert m and m[1] == m[3] and m[1].upper() == m[4] and m[2] == m[5] and "Brien" not in got[1] and "Doe" not in got[1]
+    assert re.fullmatch(r"\+49 \d\d \d{7} and (0\d\d) (\d{7}), \1/\2, 0\d( \d\d){4}, \+351 \d\d \d{7}, no phone: 0\.12 345678, 12 34 56 78", got[2]), got[2]
+    assert "1234567" not in got[2]
+    m = re.fullmatch(rf"Mrs\. ({name}) wore a brown coat\. Brown is warm\. Then ({name}) left\.", got[3])
+    assert m and m[1] == m[2] != "Brown"
+
+
+def test_surrogates_of_many_mentions(spark):
+    """The text equals one put together in plain Python, for thousands of mentions in one text; a planted name is never left."""
+    own = ["".join(p).capitalize() for p in itertools.product(["bra", "dro", "fli", "gru", "hek"], ["no", "pa", "ri", "su", "ta"], ["bb", "dd", "ff", "gg", "kk"])]
+    parts = [f"Mr. {own[i % len(own)]} wrote to {own[(7 * i) % len(own)].lower()}@firm{i % 40}.org" for i in range(2000)]
+    text = " and later ".join(parts) + f" and {own[3]} with {own[5].upper()}"
+    new = replaced(spark, [text])[0]
+    assert new.n_entities == 4000
+    found = re.fullmatch(r"(?s)(.*) and (\w+) with (\w+)", new.text)
+    said = [re.fullmatch(r"Mr\. (\w+) wrote to (\S+)", p).groups() for p in found[1].split(" and later ")]
+    names, mails = {}, {}
+    for p, (name, mail) in zip(parts, said, strict=True):
+        old = re.fullmatch(r"Mr\. (\w+) wrote to (\S+)", p).groups()
+        assert names.setdefault(old[0], name) == name and mails.setdefault(old[1], mail) == mail
+    assert len(set(names.values())) == len(names) and len(set(mails.values())) == len(mails)
+    assert found[2] == names[own[3]] and found[3] == names[own[5]].upper()
+    assert not set(re.findall(r"[A-Z]\w+", new.text)) & {*own, *(w.upper() for w in own)}
+
+
 def test_surrogate_edges(spark):
     """Repeated rows, very long texts, clashing columns and other keys."""
     long = "word " * 60_000 + "Mr. John Smith" + " word" * 60_000
