@@ -224,8 +224,25 @@ def training_rows(docs: DataFrame, rows: int, chars: int, least: int = 20) -> tu
     return languages, chosen.select("lang", "h", spread(F.col("text"), chars).alias("text")).dropDuplicates(["lang", "h"])
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, steps: int = 300, batch: int = 256) -> Network:
-    """Train on about sample_rows of the rows of docs (doc_id, text, lang) with a language, sample_chars characters of each.
+def scrambled(data: np.ndarray, begin: np.ndarray, n: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of junk, one for each of data: its letters in a random order, or by turns letters drawn alike often from all that occur. Bytes and their number."""
+    rng, texts = np.random.default_rng(seed), [data[b : b + k].tobytes().decode("utf-8", "ignore") for b, k in zip(begin, n, strict=True)]
+    alphabet = np.array(sorted({c for t in texts for c in t if c.isalpha()}) or ["x"])
+    grid, size = np.zeros((len(texts), TRAIN_WINDOW), data.dtype), np.zeros(len(texts), n.dtype)
+    for k, text in enumerate(texts):
+        chars = np.array(list(text) or ["x"])
+        at = np.flatnonzero(np.char.isalpha(chars)) if k % 4 else np.arange(len(chars))
+        chars[at] = rng.permutation(chars[at]) if k % 2 else rng.choice(alphabet, len(at))
+        raw = np.frombuffer("".join(chars).encode()[:TRAIN_WINDOW], np.uint8)
+        grid[k, : len(raw)], size[k] = raw, len(raw)
+    return grid, size
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, steps: int = 300, batch: int = 256, junk: bool = False, least_windows: int = 200) -> Network:
+    """With `junk`, scrambled windows are one more class, `und`, as large as a language's share; not where the sample has
+    fewer than least_windows windows of TRAIN_WINDOW bytes, which don't tell junk from words that it lacks.
+
+    Train on about sample_rows of the rows of docs (doc_id, text, lang) with a language, sample_chars characters of each.
 
     A batch holds windows of TRAIN_WINDOW consecutive bytes, wherever they begin and end, so the network learns to
     carry its state over the bounds of words.
@@ -239,6 +256,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
         label = np.searchsorted(languages, np.array(sample.column("lang").to_pylist()))[row]
         n = end - begin
         grid = data[np.minimum(begin[:, None] + np.arange(TRAIN_WINDOW), len(data) - 1)]
+        if junk and len(begin) >= least_windows:
+            net = Network([*languages, "und"])
+            some = np.random.default_rng(1).permutation(len(begin))[: max(len(begin) // len(languages), 1)]
+            more, size = scrambled(data, begin[some], n[some])
+            grid, n, label = np.vstack([grid, more]), np.concatenate([n, size]), np.concatenate([label, np.full(len(more), len(languages))])
         net.train(grid, n, label, steps, batch)
     return net
 
@@ -264,17 +286,19 @@ def predict(docs: DataFrame, net: Network, *carried: str) -> DataFrame:
     return docs.select("doc_id", "text", letter.alias("letter"), *carried).mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double{more}")
 
 
-def keep_languages(docs: DataFrame, margin: float = 0.02) -> DataFrame:
-    """docs without the rows that have no letter or whose best language hardly beats chance.
+def keep_languages(docs: DataFrame, sure: float = 0.95, least: int = 200) -> DataFrame:
+    """docs without the rows that have no letter or that the network takes for junk.
 
-    With k languages, chance is 1 / k; a row needs a score of 1 / k + margin * (1 - 1 / k). Decided by row: other
-    texts under the doc_id of a rejected row, or also without one, stay.
+    The network of this stage has one class more, junk: scrambled text of the languages. A row goes where that class
+    has a score of `sure` or more and the text has `least` bytes or more; shorter ones are no evidence. Decided by
+    row: other texts under the doc_id of a rejected row, or also without one, stay. Null and empty texts go. Without
+    any row that has a language, all rows with a letter stay.
     """
-    net = fit(docs.filter(fold_of(F.col("doc_id"), 4) != 2))
-    digest, chance = F.sha2("text", 256), 1 / max(len(net.languages), 1)
-    least = chance + margin * (1 - chance) if len(net.languages) > 1 else 0.0
-    rows = predict(docs.select("doc_id", "text", digest.alias("digest")), net, "digest")
-    gone = rows.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id", "digest").distinct()
+    net = fit(docs.filter(fold_of(F.col("doc_id"), 4) != 2), junk=True)
+    digest, size = F.sha2("text", 256), F.when(F.col("text").rlike(r"\p{L}"), F.octet_length("text"))
+    rows = predict(docs.select("doc_id", "text", digest.alias("digest"), size.alias("size")), net, "digest", "size")
+    junk = (F.col("lang_pred") == "und") & (F.col("score") >= sure) & (F.col("size") >= least)
+    gone = rows.filter(F.col("size").isNull() | junk).select("doc_id", "digest").distinct()
     return without(docs, written(gone, shared_folder(docs.sparkSession), "rejected"), {"doc_id": docs["doc_id"], "digest": digest})
 
 

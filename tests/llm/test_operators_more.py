@@ -206,14 +206,20 @@ def test_language_forward_pass():
 
 
 def test_language_edges(spark):
-    """Repeated rows, long texts and clashing columns; rows near chance go, others stay."""
+    """Repeated rows, long texts and clashing columns; scrambled letters go, others stay."""
     rows = [(k, " ".join(["the and this from"] * 9) if k % 2 else " ".join(["der und nicht mit"] * 9), "en" if k % 2 else "de", "x") for k in range(60)]
     rows += [(1, rows[1][1], None, "x"), (70, "the and this " * 40_000, None, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string")
     got = language_id.predict(df, language_id.fit(df, steps=100, batch=64)).collect()
     assert len(got) == 62 and {r.lang_pred for r in got if r.doc_id in (1, 70)} == {"en"}
     assert language_id.keep_languages(df).count() == 62
-    assert language_id.keep_languages(df, margin=1.01).count() == 0
+    rng = np.random.default_rng(8)
+    junk = [(100 + k, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 150 * (1 + k % 8))), None, "x") for k in range(40)]
+    more = [(300 + k, f"{t} {k}", lang, "x") for k, (_, t, lang, _) in enumerate(rows[:40])]
+    kept = language_id.keep_languages(df.union(spark.createDataFrame(more + junk, df.schema))).collect()
+    assert {r.doc_id for r in kept} == {r[0] for r in rows + more} | {r[0] for r in junk if len(r[1]) < 200} and len(kept) == 107
+    plain = spark.createDataFrame([(1, "a", None), (2, "1", None), (3, "zq" * 400, None), (4, None, None)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_languages(plain).collect()} == {1, 3}
 
 
 def test_toxicity_learns(spark):
