@@ -8,12 +8,15 @@ towards all labelled pages. The strength of each level's prior comes from the sp
 rate lies above `most_bad` with a probability of `sure` or more, that is, where the posterior's lower quantile at
 1 - sure lies above most_bad. So a host needs evidence, of its own or of its domain, to be blocked.
 
-Labelled outcomes may be any frame of page_id and bad. Where none is given, a page whose host or path has a word of
-`BAD_WORDS` counts as bad and every other as good; the rules have no part in it. A clean host with one such path
-stays, and a page without such a word goes with its host.
-
-Edge cases: a null url or one without `://` has empty host and path, no rule, and is judged by the global
-rate. An empty table gives an empty result. Repeated pages count as often as they occur. Extra columns
+Labelled outcomes may be any frame of page_id and bad. Where none is given, a page is bad by its content (where there is
+a column html) or by its url, and every other page is good; the rules have no part in it. Content is bad where half of the
+visible text or more consists of blocks that repeat earlier ones, or where words of `BAD_WORDS` occur three times or more
+and make up a fiftieth of its words or more; a url, where its host or path has such a word. A clean host with one such
+page stays, and a clean page goes with its host. Visible is what stands outside of tags, comments, scripts, styles, head,
+nav and footer; whole pages are read, and each gives one outcome.
+
+Edge cases: a null url or one without `://` has empty host and path, no rule, and is judged by the reputation of all
+such pages. Null and empty html, and html without visible text, are no evidence. What is not closed reaches to the end. An empty table gives an empty result. Repeated pages count as often as they occur. Extra columns
 pass through `judge` unless they carry the name of a result.
 """
 
@@ -36,12 +39,15 @@ SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au",
 #: Words of a host or path that mark a page as bad where no labels are given.
 BAD_WORDS = ["adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "loans", "lottery", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "viagra", "warez", "xxx"]
 MOST_BAD, SURE = 0.8, 0.95
+#: What is not visible text, for Java's and RE2's patterns alike.
+HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "head", "nav", "footer")) + r"|<[^>]*(?:>|\z)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://`."""
     found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(found, UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
@@ -132,6 +138,15 @@ def bad_words(host: Column, path: Column, words: list[str] = BAD_WORDS) -> Colum
     return F.arrays_overlap(F.split(F.lower(F.concat(host, F.lit("/"), path)), r"[^a-z0-9]+"), F.array(*map(F.lit, words)))
 
 
+def bad_content(html: Column, words: list[str] = BAD_WORDS) -> Column:
+    """True where half of the visible text repeats, or listed words make up a fiftieth of it (three at least)."""
+    total = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, x: n + F.length(x))
+    blocks = F.filter(F.split(F.coalesce(html, F.lit("")), HIDDEN), lambda x: F.trim(x) != "")
+    said = F.filter(F.split(F.translate(F.array_join(blocks, " "), UPPER, LOWER), r"[^a-z0-9]+"), lambda x: x != "")
+    listed = F.size(F.filter(said, lambda x: x.isin(words)))
+    return (F.size(blocks) > 0) & ((2 * total(F.array_distinct(blocks)) <= total(blocks)) | ((listed >= 3) & (50 * listed >= F.size(said))))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes: DataFrame | None = None, most_bad: float = MOST_BAD, sure: float = SURE, suffixes: list[str] = SUFFIXES, broadcast_hosts: int = 200_000) -> DataFrame:
     """pages with host, path, rule, verdict, block_rate and block_sure. The hosts are broadcast where they are broadcast_hosts at most."""
     folder = shared_folder(pages.sparkSession)
@@ -140,7 +155,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes:
     text, said = rule_for(F.col("host"), F.col("path"), rules)
     own = own.withColumns({"rule": text, "__said": said})
     if outcomes is None:
-        labelled = own.withColumn("__bad", bad_words(F.col("host"), F.col("path")).cast("int"))
+        bad = bad_words(F.col("host"), F.col("path"))
+        labelled = own.withColumn("__bad", (bad | bad_content(F.col("html")) if "html" in own.columns else bad).cast("int"))
     else:
         labelled = own.join(outcomes.select("page_id", F.col("bad").cast("int").alias("__bad")), "page_id", "left")
     domain, suffix = levels(F.col("host"), suffixes)
@@ -153,7 +169,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and block_rate, the posterior mean of its host."""
-    out = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    out = judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_rate", 6).alias("block_rate"))
 
 
@@ -174,8 +190,11 @@ _DEEP = ", ".join(f"'{x}'" for x in SUFFIXES)
 #: The tail of the beta distribution is summed as a power series, of the smaller side.
 OP10_SQL = rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-w AS (SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS said, list_has_any(string_split_regex(lower(host || '/' || path), '[^a-z0-9]+'), [{_LISTED}])::INTEGER AS bad, string_split(host, '.') AS labels FROM u),
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, list_filter(string_split_regex(coalesce(html, ''), '{HIDDEN}'), lambda x: trim(x) <> '') AS blocks FROM pages),
+v AS (SELECT page_id, host, path, coalesce(list_sum(list_transform(blocks, lambda x: length(x))), 0) AS total, coalesce(list_sum(list_transform(list_distinct(blocks), lambda x: length(x))), 0) AS once,
+  list_filter(string_split_regex(translate(array_to_string(blocks, ' '), '{UPPER}', '{LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM u),
+w AS (SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS said, (list_has_any(string_split_regex(lower(host || '/' || path), '[^a-z0-9]+'), [{_LISTED}]) OR total > 0 AND 2 * once <= total
+  OR len(list_filter(terms, lambda x: x IN ({_LISTED}))) >= greatest(3, len(terms) / 50))::INTEGER AS bad, string_split(host, '.') AS labels FROM v),
 l AS (SELECT host, any_value(array_to_string(labels[-2:], '.')) AS two, any_value(array_to_string(labels[-3:], '.')) AS three, any_value(labels[-1]) AS one, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM w GROUP BY 1),
 hosts AS (SELECT host, n, bad, CASE WHEN two IN ({_DEEP}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_DEEP}) THEN two ELSE one END AS suffix FROM l),
 domains AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1),
