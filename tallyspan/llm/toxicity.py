@@ -2,11 +2,12 @@
 
 A lexicon transducer maps words to symbols: insult (I), threat (T), target (Y), negation (N), reported
 speech (R), other (O). Its insult arcs are words and word beginnings with their log-odds, learned from
-labelled rows; threats are a fixed list with learned log-odds, the rest is a fixed list. Three transducers over symbols are composed into one: negation
-turns an insult or threat within three words after N into its negated form; reported speech turns those
-after R, up to the clause's end, into their reported form; the target transducer tells those in a clause
-that has named a target from the others. Every arc that ends in an event carries the lexicon's weight, and a
-clause's matches are the events of its path. A document's score is a logistic function of the summed
+labelled rows; threats are a fixed list with learned log-odds, the rest is a fixed list. One transducer reads a clause from
+its end and turns an insult that a target follows into J. Three more, composed into one, read its output from the
+begin: negation turns an insult or threat within three words after N into its negated form; reported speech turns those
+after R, up to the clause's end, into their reported form; the target transducer tells insults in a clause
+that names a target, before or after them, from the others. Every arc that ends in an event carries the lexicon's weight,
+and a clause's matches are the events of its path. A document's score is a logistic function of the summed
 weights of each kind of event, fitted by Newton steps.
 
 Texts are searched whole for words that can begin an event; only clauses around these are parsed.
@@ -67,39 +68,58 @@ class Transducer:
         return Transducer((self.start, other.start), arcs)
 
 
+def ahead() -> Transducer:
+    """Read from the clause's end: I becomes J where a Y stands after it."""
+    return Transducer(0, {(0, "Y"): ("Y", 1), (1, "I"): ("J", 1)})
+
+
 def negation(reach: int = 3) -> Transducer:
-    """I and T up to `reach` words after N become I- and T-."""
+    """I, J and T up to `reach` words after N become I-, J- and T-."""
     arcs: dict = {}
     for left in range(reach + 1):
-        for s in "ITYROA":
-            mark = "-" if left and s in "IT" else ""
+        for s in "IJTYRO":
+            mark = "-" if left and s in "IJT" else ""
             arcs[left, s] = (s + mark, max(0, left - 1))
         arcs[left, "N"] = ("N", reach)
     return Transducer(0, arcs)
 
 
 def reporting() -> Transducer:
-    """After R, I and T become I~ and T~ until the clause ends."""
+    """After R, I, J and T become I~, J~ and T~ until the clause ends."""
     arcs: dict = {(s, "R"): ("R", 1) for s in (0, 1)}
-    arcs |= {(1, x): (x[0] + "~", 1) for x in ("I", "T")}
+    arcs |= {(1, x): (x + "~", 1) for x in "IJT"}
     return Transducer(0, arcs)
 
 
 def targeting() -> Transducer:
-    """Events: a plain insult, one after a target, a negated one, a reported one, a threat; others give nothing."""
+    """Events: a plain insult, one with a target on either side, a negated one, a reported one, a threat; others give nothing."""
     arcs: dict = {}
     for s in (0, 1):
-        arcs |= {(s, "Y"): ("", 1), (s, "I"): ("targeted" if s else "plain", s), (s, "T"): ("threat", s)}
-        arcs |= {(s, x): ("negated", s) for x in ("I-", "T-")} | {(s, x): ("reported", s) for x in ("I~", "T~")}
+        arcs |= {(s, "Y"): ("", 1), (s, "I"): ("targeted" if s else "plain", s), (s, "J"): ("targeted", s), (s, "T"): ("threat", s)}
+        arcs |= {(s, x): ("negated", s) for x in ("I-", "J-", "T-")} | {(s, x): ("reported", s) for x in ("I~", "J~", "T~")}
         arcs |= {(s, x): ("", s) for x in ("N", "R", "O")}
     return Transducer(0, arcs)
 
 
-SYMBOLS = ["I", "T", "Y", "N", "R", "O"]
+SYMBOLS = ["I", "J", "T", "Y", "N", "R", "O"]
+AHEAD = ahead()
 GRAMMAR = negation().then(reporting(), SYMBOLS).then(targeting(), SYMBOLS)
 CLOSED = {w: s for words, s in ((TARGETS, "Y"), (NEGATIONS, "N"), (REPORTS, "R"), (THREATS, "T")) for w in words}
 
 
+def clause_events(clause: list[tuple[str, float]]) -> Iterator[tuple[str, float]]:
+    """The events of a clause of (symbol, weight): one pass from its end, then one from its begin."""
+    seen, state = [], AHEAD.start
+    for s, weight in reversed(clause):
+        s, state = AHEAD.step(state, s)
+        seen.append((s, weight))
+    state = GRAMMAR.start
+    for s, weight in reversed(seen):
+        event, state = GRAMMAR.step(state, s)
+        if event:
+            yield event, weight
+
+
 class Grammar:
     """The lexicon transducer with the composed clause grammar."""
 
@@ -129,12 +149,8 @@ class Grammar:
                 begin = m.end()
             m = CLAUSE.search(text, found.end())
             done = m.end() if m else len(text)
-            state = GRAMMAR.start
-            for word in WORD.finditer(text, begin, done):
-                s, weight = self.symbol(word[0])
-                event, state = GRAMMAR.step(state, s)
-                if event:
-                    out[EVENTS.index(event)] += weight
+            for event, weight in clause_events([self.symbol(word[0]) for word in WORD.finditer(text, begin, done)]):
+                out[EVENTS.index(event)] += weight
             found = self.trigger.search(text, done)
         return out
 
