@@ -142,9 +142,12 @@ def bad_content(html: Column, words: list[str] = BAD_WORDS) -> Column:
     """True where half of the visible text repeats, or listed words make up a fiftieth of it (three at least)."""
     total = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, x: n + F.length(x))
     blocks = F.filter(F.split(F.coalesce(html, F.lit("")), HIDDEN), lambda x: F.trim(x) != "")
-    said = F.filter(F.split(F.translate(F.array_join(blocks, " "), UPPER, LOWER), r"[^a-z0-9]+"), lambda x: x != "")
-    listed = F.size(F.filter(said, lambda x: x.isin(words)))
-    return (F.size(blocks) > 0) & ((2 * total(F.array_distinct(blocks)) <= total(blocks)) | ((listed >= 3) & (50 * listed >= F.size(said))))
+    terms = lambda blocks: F.filter(F.split(F.translate(F.array_join(blocks, " "), UPPER, LOWER), r"[^a-z0-9]+"), lambda x: x != "")
+    listed = lambda said: F.size(F.filter(said, lambda x: x.isin(words)))
+    # Arrays of one element, so that what several tests need is computed once.
+    stuffed = lambda said: F.exists(F.array(listed(said)), lambda n: (n >= 3) & (50 * n >= F.size(said)))
+    bad = lambda x: (F.size(x) > 0) & ((2 * total(F.array_distinct(x)) <= total(x)) | F.exists(F.array(terms(x)), stuffed))
+    return F.exists(F.array(blocks), bad)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes: DataFrame | None = None, most_bad: float = MOST_BAD, sure: float = SURE, suffixes: list[str] = SUFFIXES, broadcast_hosts: int = 200_000) -> DataFrame:
