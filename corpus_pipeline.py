@@ -1,4 +1,12 @@
-"""The corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing to target weights, byte-level BPE."""
+"""The corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing to target weights, byte-level BPE.
+
+Edge cases: rows with null or empty text, or without a letter, go in the language stage; rows with a null doc_id are
+judged like all others and stay. Rows that repeat under one doc_id are equal texts, so exact dedup leaves one; ties go to
+the smallest doc_id. A null source is a source of its own in the mix, and a source whose texts are all empty has rate 1.
+Without any labelled row the language stage rejects only what has no letter. An empty table goes through all
+stages and gives an empty result with the last stage's columns. Extra columns are carried up to the last stage,
+but for `copy` and `shuffle_key`, which the mix drops.
+"""
 
 from __future__ import annotations
 
