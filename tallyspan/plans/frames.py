@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,23 +68,27 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def monthly_binding(spark: SparkSession, d: str) -> Frames:
-    """Customers as encounters, groups of them as subjects, returned lines as stays, all lines as point rows; spans months."""
+def monthly_binding(spark: SparkSession, d: str, named: Callable[[DataFrame], DataFrame] = lambda organisms: organisms) -> Frames:
+    """Customers as encounters, groups of them as subjects, returned lines as stays, all lines as point rows; spans months.
+
+    Texts are cleaned once an order and once a part, before these meet the lines; `named` may replace columns of the parts.
+    """
     orders, lines = _read(spark, d, "orders"), _read(spark, d, "lineitem")
     key = F.col("o_custkey").cast("string")
     subject = (F.col("encounter").cast("bigint") % 500).cast("string")
     encounters = orders.groupBy(key.alias("encounter")).agg(F.min("o_orderdate").alias("admit"), (F.max("o_orderdate") + F.expr("interval 30 days")).alias("discharge"))
     encounters = encounters.withColumn("subject", subject)
-    own = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).withColumn("encounter", key)
+    asked = orders.select("o_orderkey", key.alias("encounter"), F.col("o_orderdate").alias("t"), norm_text(F.col("o_orderpriority")).alias("type"), norm_text(F.col("o_orderstatus")).alias("name"), F.when(F.col("o_orderstatus") == "P", "stain").otherwise("culture").alias("method"))
+    own = lines.join(asked.withColumn("subject", subject), lines["l_orderkey"] == asked["o_orderkey"])
     out = F.when((F.col("l_linenumber") == 1) & (F.col("l_linestatus") == "O"), None).otherwise(F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int")))
     stays = own.filter(F.col("l_returnflag") == "R").select("encounter", F.col("l_shipdate").alias("t_in"), out.alias("t_out"))
     stays = fill_open_end(stays.join(encounters, "encounter"))
-    part = _read(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     kind = norm_text(F.col("p_type"))
     group = F.when(F.col("p_type") == "ECONOMY", "no_growth").otherwise(kind)
-    points = own.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        subject.alias("subject"), "encounter", F.col("o_orderdate").alias("t"), norm_text(F.col("o_orderpriority")).alias("type"), norm_text(F.col("o_orderstatus")).alias("name"), F.when(F.col("o_orderstatus") == "P", "stain").otherwise("culture").alias("method"),
-        F.col("l_partkey").cast("string").alias("organism_id"), norm_text(F.col("p_name")).alias("organism_name"), kind.alias("organism_category"), group.alias("organism_group"), norm_text(F.col("p_brand")).alias("drug"), F.col("l_returnflag").alias("sir"), positive_flag(group, kind).alias("positive"),
+    organisms = _read(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("organism_id"), norm_text(F.col("p_name")).alias("organism_name"), kind.alias("organism_category"), group.alias("organism_group"), norm_text(F.col("p_brand")).alias("drug"), positive_flag(group, kind).alias("positive"))
+    points = own.join(named(organisms), F.col("l_partkey") == F.col("p_partkey")).select(
+        "subject", "encounter", "t", "type", "name", "method",
+        "organism_id", "organism_name", "organism_category", "organism_group", "drug", F.col("l_returnflag").alias("sir"), "positive",
     )
     return Frames(encounters, stays, of_method(points, "culture"))
 
@@ -124,14 +129,20 @@ DRUGS = ["oxacillin", "vancomycin", "meropenem", "cefazolin", "ertapenem 10 mcg"
 NAMES = [code for codes in CLASS_CODES.values() for code in codes] + FREE_NAMES
 
 
+def named_organisms(organisms: DataFrame) -> DataFrame:
+    """The parts with names of real organisms, dealt by their number."""
+    number = F.col("organism_id").cast("bigint")
+    code = _pick(NAMES, number)
+    named = organisms.withColumns({"organism_category": code, "organism_name": F.when(number % 5 == 0, "").otherwise(F.translate(code, "_", " ")), "organism_group": F.when(code.isin("no_growth", ""), code)})
+    return named.withColumn("positive", positive_flag(F.col("organism_group"), F.col("organism_category"), blank_is_missing=True))
+
+
 def named_binding(spark: SparkSession, d: str) -> Frames:
     """The monthly binding with names of real organisms, specimens and drugs, dealt by the number of the part."""
-    f = monthly_binding(spark, d)
+    f = monthly_binding(spark, d, named_organisms)
     number = F.col("organism_id").cast("bigint")
-    code = _pick(NAMES, number)
-    group = F.when(code.isin("no_growth", ""), code)
-    points = f.points.withColumns({"organism_category": code, "organism_name": F.when(number % 5 == 0, "").otherwise(F.translate(code, "_", " ")), "organism_group": group, "type": _pick(SPECIMENS, F.floor(number / 7)), "drug": _pick(DRUGS, F.floor(number / 3) + F.length("sir") + F.month("t"))})
-    return Frames(f.encounters, f.stays, points.withColumn("positive", positive_flag(F.col("organism_group"), F.col("organism_category"), blank_is_missing=True)))
+    points = f.points.withColumns({"type": _pick(SPECIMENS, F.floor(number / 7)), "drug": _pick(DRUGS, F.floor(number / 3) + F.length("sir") + F.month("t"))})
+    return Frames(f.encounters, f.stays, points)
 
 
 _EPISODES = """

@@ -21,6 +21,11 @@ def text() -> Column:
     return F.lower(F.concat_ws(" ", "organism_name", "organism_category"))
 
 
+def row_counts(f: Frames, column: str) -> DataFrame:
+    """Point rows (n) of each value of a column, stored: rules read their table twice, for its values and for the verdicts."""
+    return stored(f.points.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
+
+
 _TEXT = "lower(concat_ws(' ', organism_name, organism_category))"
 
 
@@ -38,8 +43,8 @@ r AS (SELECT c.*, seeds.class AS seed, {_case("lower(c.code)", RULESETS["exact_t
 SELECT code, coalesce(seed, ruled, '{DEFAULT_CLASS}') AS class, CASE WHEN seed IS NOT NULL THEN 'exact' WHEN ruled IS NOT NULL THEN 'rule' ELSE 'default' END AS path, n_rows FROM r""")
 def _(f: Frames) -> DataFrame:
     """The class of every code and how it was found: by the table of codes, by a pattern, or not at all."""
-    rows = classify_codes(f.points, F.col("organism_category"), seed_table(f.points.sparkSession))
-    return rows.groupBy(F.coalesce("organism_category", F.lit("")).alias("code"), "class", "path").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = classify_codes(row_counts(f, "organism_category"), F.col("organism_category"), seed_table(f.points.sparkSession))
+    return rows.groupBy(F.coalesce("organism_category", F.lit("")).alias("code"), "class", "path").agg(F.sum("n").alias("n_rows"))
 
 
 @register("monthly_classes", named_binding, f"""seeds AS (SELECT * FROM (VALUES {_SEEDS}) AS t(code, class)),
@@ -66,14 +71,14 @@ def _contains(x: str, rules: list[tuple[str, str]]) -> str:
 @register("specimen_groups", named_binding, f"z AS (SELECT 1) SELECT type, {_contains('type', SPECIMEN_GROUPS)} AS specimen_group, count(*) AS n_rows FROM points GROUP BY ALL")
 def _(f: Frames) -> DataFrame:
     """The group of every specimen by the pattern table of specimens."""
-    rows = match_patterns(f.points, F.col("type"), pattern_file(f, SPECIMEN_GROUPS, "specimen"))
-    return rows.groupBy("type", F.col("group").alias("specimen_group")).agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = match_patterns(row_counts(f, "type"), F.col("type"), pattern_file(f, SPECIMEN_GROUPS, "specimen"))
+    return rows.groupBy("type", F.col("group").alias("specimen_group")).agg(F.sum("n").alias("n_rows"))
 
 
 @register("organism_groups", named_binding, f"z AS (SELECT 1) SELECT {_contains('organism_name', ORGANISM_GROUPS)} AS organism_class, count(*) AS n_rows, count(DISTINCT event_id) AS n_events FROM detections GROUP BY ALL")
 def _(f: Frames) -> DataFrame:
     """Detections of every group by the pattern table of organisms."""
-    rows = match_patterns(f.detections, F.col("organism_name"), pattern_file(f, ORGANISM_GROUPS, "organism"))
+    rows = match_patterns(stored(f.detections.select("organism_name", "event_id")), F.col("organism_name"), pattern_file(f, ORGANISM_GROUPS, "organism"))
     return rows.groupBy(F.col("group").alias("organism_class")).agg(F.count(F.lit(1)).alias("n_rows"), n_distinct("event_id").alias("n_events"))
 
 
@@ -91,8 +96,8 @@ def _(f: Frames) -> DataFrame:
     pattern = F.when(i % 10 == 0, F.lpad(code, 2, "0")).otherwise(F.lpad(code, 3, "0"))
     table = f.points.sparkSession.range(N_PATTERNS).select(i.alias("at"), pattern.alias("pattern"), F.concat(F.lit("group "), (i % 11).cast("string")).alias("name"))
     digits = F.lpad((F.col("organism_id").cast("bigint") * 7919 % 1000000).cast("string"), 6, "0")
-    rows = match_patterns(f.points, digits, numbered_patterns(table, "pattern", "name", "at"))
-    return rows.groupBy(F.col("group").alias("code_group"), "place").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = match_patterns(row_counts(f, "organism_id"), digits, numbered_patterns(table, "pattern", "name", "at"))
+    return rows.groupBy(F.col("group").alias("code_group"), "place").agg(F.sum("n").alias("n_rows"))
 
 
 _TARGET_ROWS = ", ".join(f"('{label}', '{p}')" for label, p in TARGETS)

@@ -189,3 +189,21 @@ def test_stored_tables_are_released(spark):
     assert table.count() == 3 and release(spark) >= 1 and release(spark) == 0
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_rules_read_their_rows_once(spark):
+    """What rules are applied to is stored narrow or as counts before, so the result's plan reads no source table again."""
+    from tallyspan.plans import queries, rule_queries  # noqa: F401
+
+    for name in ("organism_groups", "specimen_groups", "pattern_table_large", "classify_codes"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan, name
+
+
+def test_texts_are_cleaned_before_the_join(spark):
+    """The points' patterns run once an order and once a part: nothing above the joins with the lines cleans a text."""
+    from tallyspan.plans.frames import monthly_binding, named_binding
+
+    for binding in (monthly_binding, named_binding):
+        plan = binding(spark, "/root/testdata/sf0.001").points._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan.split("Join ")[0]
