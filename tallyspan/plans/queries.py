@@ -670,25 +670,35 @@ _PHENO = "sus AS (SELECT DISTINCT organism_id, drug FROM points WHERE sir = 'R')
 _BOTH = _TAGS + _PHENO + "tt AS (SELECT event_id, month, CASE target_label WHEN 'Ring' THEN 'R1' WHEN 'Screw' THEN 'R2' ELSE target_label END AS target_label, 'text' AS source FROM tagged), comb AS (SELECT target_label, event_id, month, CASE WHEN min(CASE source WHEN 'susceptibility' THEN 0 ELSE 1 END) = 0 THEN 'susceptibility' ELSE 'text' END AS source FROM (SELECT event_id, month, target_label, source FROM tt UNION ALL SELECT event_id, month, target_label, 'susceptibility' FROM pheno WHERE target_label IS NOT NULL) GROUP BY 1, 2, 3),\n"
 
 
-def tagged(f: Frames) -> DataFrame:
+def tags(f: Frames) -> DataFrame:
+    """event_id, month and every target whose pattern the names match; an event comes once a row of it."""
     text = F.concat_ws(" ", "organism_name", "organism_category", "organism_group")
-    return tag_targets(f.frame("detections"), text, TARGETS).select("event_id", "month", "target_label").distinct()
+    return tag_targets(f.frame("detections"), text, TARGETS).select("event_id", "month", "target_label")
 
 
-def phenotypes(f: Frames) -> DataFrame:
-    """Detections whose organism has a resistant result; organism and drug patterns name the phenotype."""
+def resistances(f: Frames) -> DataFrame:
+    """event_id, month and phenotype of detections whose organism has a resistant result; organism and drug patterns name the phenotype."""
     resistant = f.points.filter((norm_sir(F.col("sir")) == "resistant") & F.col("organism_id").isNotNull() & (F.col("organism_id") != "")).select("organism_id", F.col("drug").alias("tested")).distinct()
     rows = f.frame("detections").join(resistant, "organism_id")
-    return rows.select("event_id", "month", phenotype(F.col("organism_name"), F.col("tested"), PHENOTYPES).alias("target_label")).filter("target_label IS NOT NULL").distinct()
+    return rows.select("event_id", "month", phenotype(F.col("organism_name"), F.col("tested"), PHENOTYPES).alias("target_label")).filter("target_label IS NOT NULL")
+
+
+def tagged(f: Frames) -> DataFrame:
+    return tags(f).distinct()
+
+
+def phenotypes(f: Frames) -> DataFrame:
+    return resistances(f).distinct()
 
 
 def combined(f: Frames) -> DataFrame:
-    """Targets by text and by susceptibility, the latter preferred for the same target, event and month."""
+    """Targets by text and by susceptibility, the latter preferred for the same target, event and month; one row each, by one grouping."""
     f.once("detections")
     label = F.when(F.col("target_label") == "Ring", "R1").when(F.col("target_label") == "Screw", "R2").otherwise(F.col("target_label"))
-    text = tagged(f).withColumns({"target_label": label, "source": F.lit("text"), "rank": F.lit(1)})
-    both = text.unionByName(phenotypes(f).withColumns({"source": F.lit("susceptibility"), "rank": F.lit(0)}))
-    return both.groupBy("target_label", "event_id", "month").agg(F.min_by("source", "rank").alias("source"))
+    text = tags(f).withColumns({"target_label": label, "rank": F.lit(1)})
+    both = text.unionByName(resistances(f).withColumn("rank", F.lit(0)))
+    ranked = both.groupBy("target_label", "event_id", "month").agg(F.min("rank").alias("rank"))
+    return ranked.select("target_label", "event_id", "month", F.when(F.col("rank") == 0, "susceptibility").otherwise("text").alias("source"))
 
 
 _EVENT = "split_part(event_id, '|', 1) AS encounter, split_part(event_id, '|', 2) AS seq, split_part(event_id, '|', 4) AS type"
@@ -730,7 +740,8 @@ def label_counts(f: Frames) -> DataFrame:
 def target_counts(f: Frames) -> DataFrame:
     """month, label and events of every target, stored."""
     f.once("episodes")
-    return stored(combined(f).groupBy("month", F.col("target_label").alias("label")).agg(n_distinct("event_id").alias("n_events")))
+    # Combined rows are distinct, so events of a month and label are its rows.
+    return stored(combined(f).groupBy("month", F.col("target_label").alias("label")).agg(F.count(F.lit(1)).alias("n_events")))
 
 
 def monthly_rates(f: Frames, counts: DataFrame, months: DataFrame, labels: DataFrame | None = None) -> DataFrame:

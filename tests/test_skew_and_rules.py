@@ -207,3 +207,20 @@ def test_texts_are_cleaned_before_the_join(spark):
     for binding in (monthly_binding, named_binding):
         plan = binding(spark, "/root/testdata/sf0.001").points._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_replace" not in plan.split("Join ")[0]
+
+
+def test_targets_are_grouped_once(spark):
+    """Texts and phenotypes of targets meet in one grouping, without a distinct of either before it; the rows stay those of the distinct ones."""
+    from tallyspan.plans import queries
+    from tallyspan.plans.frames import monthly_binding
+
+    f = monthly_binding(spark, "/root/testdata/sf0.001")
+    both = queries.combined(f)
+    # The one other is over the resistant results.
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 2
+    rows = [(r.event_id, {"Ring": "R1", "Screw": "R2"}.get(r.target_label, r.target_label), r.month) for r in queries.tagged(f).collect()]
+    sure = {(r.event_id, r.target_label, r.month) for r in queries.phenotypes(f).collect()}
+    want = {k: "susceptibility" if k in sure else "text" for k in {*rows, *sure}}
+    got = both.collect()
+    assert {(r.event_id, r.target_label, r.month): r.source for r in got} == want and len(got) == len(want) > 0
+    assert sum(r.n_events for r in queries.target_counts(f).collect()) == len(want)
