@@ -77,6 +77,31 @@ def test_cells_are_bounded(spark):
         assert largest <= 3 * most
 
 
+def test_points_of_one_time_meet_a_span_as_runs(spark):
+    """The join of a hot key gets runs of points, so far fewer rows than points, in as many tasks as it has cells, whatever its bytes."""
+    from tallyspan.operators import skew
+
+    most, keys = 1000, ("subject", "encounter")
+    points = spark.createDataFrame([("h", None, hours(9 + k % 2), k, None if k % 7 == 0 else "x") for k in range(3000)], POINT)
+    stays = spark.createDataFrame([("h", None, hours(k % 10), hours(10), False) for k in range(2000)], STAY).drop("open_end")
+    hot = hot_sides(points, stays, keys, "t", most, 64)
+    own, held = deal(points, stays, hot, hot.count(), keys, "t", most)
+    n_cells = own.select("_grid", "_row", "_column").distinct().count()
+    pairs = skew.attach_runs(own, held, keys, "t", most)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    tree = plan.splitlines()
+    assert any("Generate inline(_points" in x for x in tree) and plan.count(f", {n_cells}), REPARTITION_BY_NUM") == 2 and n_cells > 1
+    runs = own.groupBy("_grid", "_row", "_column", "t", F.pmod(F.xxhash64("_number"), F.lit(-(-most // skew.RUN)))).count()
+    assert runs.count() * 10 < own.count() and runs.agg(F.max("count")).first()[0] <= 2 * skew.RUN
+    plain = attach_points(points, stays)
+    assert Counter(map(tuple, pairs.select(*plain.columns).groupBy(*plain.columns).count().collect())) == Counter(map(tuple, plain.groupBy(*plain.columns).count().collect()))
+    # Points without other columns, and without any that match.
+    bare = points.select(*keys, "t")
+    assert attach_points_binned(bare, stays, most=most).count() == plain.count()
+    late = stays.withColumns({c: F.lit(hours(5000)).cast("timestamp_ntz") for c in ("t_in", "t_out")})
+    assert attach_points_binned(points, late, most=most).count() == 0
+
+
 def test_patterns(spark):
     """First by place, not by length or position; patterns of one to many characters; against every pattern."""
     r = random.Random(3)
