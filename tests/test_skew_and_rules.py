@@ -102,6 +102,29 @@ def test_points_of_one_time_meet_a_span_as_runs(spark):
     assert attach_points_binned(points, late, most=most).count() == 0
 
 
+def test_no_streamed_row_has_more_pairs_than_a_cell_has_points(spark):
+    """Where a time has very many points and spans, the join of a hot key streams spans and holds short runs, so its pairs wait in small numbers."""
+    from tallyspan.operators import skew
+
+    most, keys = 500, ("subject", "encounter")
+    points = spark.createDataFrame([("h", "h", hours(9), k, str(k)) for k in range(1200)], POINT)
+    stays = spark.createDataFrame([("h", "h", hours(k % 9), hours(9 + k % 2), False) for k in range(1100)], STAY).drop("open_end")
+    hot = hot_sides(points, stays, keys, "t", most, 64)
+    own, held = deal(points, stays, hot, hot.count(), keys, "t", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = skew.attach_runs(own, held, keys, "t", most)
+        plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The left side streams; the spans' columns of the cell have one underscore more.
+    assert "SortMergeJoin [__grid" in plan
+    largest = own.groupBy("_grid", "_row", "_column").count().agg(F.max("count")).first()[0]
+    runs = own.groupBy("_grid", "_row", "_column", "t", F.pmod(F.xxhash64("_number"), F.lit(-(-most // skew.RUN)))).count()
+    assert largest <= 2 * most and runs.agg(F.max("count")).first()[0] <= 80
+    assert pairs.count() == attach_points(points, stays).count() == 1200 * 1100
+
+
 def test_patterns(spark):
     """First by place, not by length or position; patterns of one to many characters; against every pattern."""
     r = random.Random(3)
