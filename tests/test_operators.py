@@ -33,6 +33,16 @@ def test_merge_touching_contained_open(spark):
     assert got == [(1, 5, False, 3), (7, 9, True, 1)]
 
 
+def test_merge_of_equal_stays(spark):
+    """Stays equal in both ends are never parted: both windows read one sort, so there is no tie between them."""
+    d = lambda n: T(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(d(3 * k), d(3 * k + 1), None) for k in range(200) for _ in range(1 + k % 4)]
+    merged = merge_intervals(stays(spark, rows).repartition(7))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Sort [") == 1
+    assert sorted((r.seq, r.t_in, r.n_intervals) for r in merged.collect()) == [(k + 1, d(3 * k), 1 + k % 4) for k in range(200)]
+
+
 def test_points_at_both_ends_and_null_keys(spark):
     spans = spark.createDataFrame([(None, None, T(2024, 1, 1), T(2024, 1, 2)), (None, None, T(2024, 1, 2), T(2024, 1, 3))], "subject string, encounter string, t_in timestamp_ntz, t_out timestamp_ntz")
     points = spark.createDataFrame([(None, None, T(2024, 1, 2)), (None, None, T(2024, 1, 1)), (None, None, T(2024, 1, 3, 0, 0, 1))], "subject string, encounter string, t timestamp_ntz")
